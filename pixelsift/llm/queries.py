@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelsift.llm import exact_dedup, mixing, sharding
+from pixelsift.llm import byte_bpe, exact_dedup, media, mixing, sharding, warc
 from pixelsift.llm._store import shared_path
 
 
@@ -16,16 +16,32 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), 40, map_path=shared_path(spark, "slotmap"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.captures(spark, path)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.with_media(_documents(spark, sf_dir)), with_array=False).drop("fingerprints")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op6_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc, op4_byte_bpe, op6_mixing, op7_media, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

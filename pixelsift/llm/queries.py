@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelsift.llm import byte_bpe, exact_dedup, media, mixing, sharding, toxicity, warc
+from pixelsift.llm import byte_bpe, exact_dedup, line_dedup, media, mixing, sharding, toxicity, warc
 from pixelsift.llm._store import shared_path
 
 
@@ -22,6 +22,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(spark, path)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_documents(spark, sf_dir))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,8 +50,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_warc, op4_byte_bpe, op6_mixing, op7_media, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_line_dedup, op4_byte_bpe, op6_mixing, op7_media, op9_toxicity, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

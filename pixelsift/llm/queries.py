@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelsift.llm import byte_bpe, exact_dedup, line_dedup, media, mixing, sharding, toxicity, warc
+from pixelsift.llm import byte_bpe, exact_dedup, jaccard_join, line_dedup, media, mixing, sharding, toxicity, warc
 from pixelsift.llm._store import shared_path
 
 
@@ -40,6 +40,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.with_media(_documents(spark, sf_dir)), with_array=False).drop("fingerprints")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(_documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_line_dedup, op4_byte_bpe, op6_mixing, op7_media, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_line_dedup, op4_byte_bpe, op6_mixing, op7_media, op8_jaccard_join, op9_toxicity, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

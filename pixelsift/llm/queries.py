@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelsift.llm import byte_bpe, exact_dedup, jaccard_join, line_dedup, media, mixing, sharding, toxicity, warc
+from pixelsift.llm import byte_bpe, exact_dedup, jaccard_join, line_dedup, maxent_lm, media, mixing, sharding, toxicity, warc
 from pixelsift.llm._store import shared_path
 
 
@@ -32,6 +32,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(_documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -54,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_line_dedup, op4_byte_bpe, op6_mixing, op7_media, op8_jaccard_join, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_line_dedup, op4_byte_bpe, op5_maxent_lm, op6_mixing, op7_media, op8_jaccard_join, op9_toxicity, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

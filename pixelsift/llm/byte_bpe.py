@@ -20,6 +20,7 @@ import hashlib
 import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,11 +162,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                 ids_sha.append(hashlib.sha256(_little(ids)).hexdigest())
                 text_sha.append(hashlib.sha256(decoded).hexdigest())
                 if with_ids:
-                    all_ids.append(pa.array(ids, pa.int32()))
+                    all_ids.append(np.frombuffer(ids, np.uint32).astype(np.int32))
                     texts.append(decoded)
             out = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             if with_ids:
-                out += [pa.array([x.to_pylist() for x in all_ids], pa.list_(pa.int32())), pa.array(texts, pa.binary())]
+                out += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.binary())]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     carried = [id_col] if carry is None else carry

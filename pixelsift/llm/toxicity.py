@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelsift.llm._text import mix
+
 #: Labelled rows of each class that the classifier is fitted on, at most, and windows of each row.
 PER_CLASS, WINDOWS = {0: 5000, 1: 1500}, 64
 WINDOW, STRIDE = 32, 16
@@ -31,27 +33,36 @@ BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 #: Passes over the toxic windows: the first ones take all of a document's windows, the others its top one.
 WARM, EPOCHS, BATCH, STEPS, RATE = 2, 8, 128, 1500, 0.25
 WARM_WINDOWS = 12_000
-#: Words whose number a worker remembers.
-REMEMBERED = 500_000
+#: Words whose number a worker remembers, and texts scored together.
+REMEMBERED, TOGETHER = 500_000, 64
 
 _STRIP = b".,;:!?\"'()[]"
 
 
-def grams(word: bytes) -> np.ndarray:
-    """Buckets of a word's n-grams and of the word itself."""
-    b = np.frombuffer(b"<" + (word.strip(_STRIP) or word) + b">", np.uint8).astype(np.uint64)
-    out = []
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of each word and of the word itself, one word after the other, and how many each has."""
+    marked = [b"<" + (w.strip(_STRIP) or w) + b">" for w in words]
+    size = np.array([len(w) for w in marked], np.int64)
+    b = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    start = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(words)), size)
+    end = np.repeat(start + size, size)
+    hashes, owners = [], []
     for n in GRAMS:
         if len(b) >= n:
-            h = np.full(len(b) - n + 1, n, np.uint64)
+            at = np.flatnonzero(np.arange(len(b)) + n <= end)
+            h = np.full(len(at), n, np.uint64)
             for i in range(n):
-                h = (h ^ b[i : len(b) - n + 1 + i]) * np.uint64(0x100000001B3)
-            out.append(h)
-    h = 14695981039346656037
-    for x in (word.strip(_STRIP) or word)[:256]:
-        h = ((h ^ x) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    out.append(np.array([h], np.uint64))
-    return ((np.concatenate(out) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64) % BUCKETS
+                h = (h ^ b[at + i]) * np.uint64(0x100000001B3)
+            hashes.append(h)
+            owners.append(word[at])
+    place = np.arange(len(b), dtype=np.uint64) - np.repeat(start, size).astype(np.uint64)
+    hashes.append(np.add.reduceat(mix(b * np.uint64(0x9E3779B97F4A7C15) + place), start))
+    owners.append(np.arange(len(words)))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    flat = ((np.concatenate(hashes)[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64) % BUCKETS
+    return flat, np.bincount(owner, minlength=len(words))
 
 
 def window_starts(n: int) -> list[int]:
@@ -70,36 +81,42 @@ class Model:
     def __reduce__(self):
         return Model, (self.weights, self.bias)
 
-    def _word(self, word: bytes) -> float:
-        value = self._known.get(word)
-        if value is None:
-            value = float(self.weights[grams(word)].mean())
-            if len(word) <= 64:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[word] = value
-        return value
-
-    def score(self, text: bytes | None) -> float:
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self._known) + len(words) > REMEMBERED:
+            self._known.clear()
+        new = [w for w in words if w not in self._known]
+        for lo in range(0, len(new), 1 << 14):
+            part = new[lo : lo + (1 << 14)]
+            flat, n = grams(part)
+            at = np.cumsum(n) - n
+            self._known.update(zip(part, (np.add.reduceat(self.weights[flat].astype(np.float64), at) / n).tolist(), strict=True))
+
+    def score(self, texts: list[bytes | None]) -> list[float]:
         if self.weights is None:
-            return 0.0
-        words = text.lower().split() if text else []
-        odds = self.bias
-        if words:
-            value = np.fromiter(map(self._word, words), np.float64, len(words))
-            # a word counts once in a window: where it doesn't occur between the window's start and itself
-            order = np.argsort(value, kind="stable")
-            before = np.full(len(words), -1)
-            same = value[order[1:]] == value[order[:-1]]
-            before[order[1:][same]] = order[:-1][same]
-            starts = np.array(window_starts(len(words)))
-            most = -np.inf
-            for lo in range(0, len(starts), 1 << 14):
-                at = starts[lo : lo + (1 << 14), None]
-                place = at + np.arange(min(WINDOW, len(words)))
-                most = max(most, np.where(before[place] < at, value[place], 0).sum(1).max())
-            odds += most / WINDOW
-        return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+            return [0.0] * len(texts)
+        out = []
+        for lo in range(0, len(texts), TOGETHER):
+            cut = [t.lower().split() if t else [] for t in texts[lo : lo + TOGETHER]]
+            self._learn(set().union(*cut))
+            out += [self._odds(words) for words in cut]
+        return (1 / (1 + np.exp(-np.clip(np.array(out), -500, 500)))).tolist()
+
+    def _odds(self, words: list[bytes]) -> float:
+        if not words:
+            return self.bias
+        value = np.fromiter(map(self._known.__getitem__, words), np.float64, len(words))
+        # a word counts once in a window: where it doesn't occur between the window's start and itself
+        order = np.argsort(value, kind="stable")
+        before = np.full(len(words), -1)
+        same = value[order[1:]] == value[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        starts = np.array(window_starts(len(words)))
+        most = -np.inf
+        for lo in range(0, len(starts), 1 << 14):
+            at = starts[lo : lo + (1 << 14), None]
+            place = at + np.arange(min(WINDOW, len(words)))
+            most = max(most, np.where(before[place] < at, value[place], 0).sum(1).max())
+        return self.bias + most / WINDOW
 
 
 def fit(examples: list[tuple[int, list[bytes]]], seed: int = 1) -> Model:
@@ -120,9 +137,8 @@ def fit(examples: list[tuple[int, list[bytes]]], seed: int = 1) -> Model:
     if not rows:
         return Model()
     win, size, owner = np.array(rows, np.int32), np.array(sizes, np.int32), np.array(owner)
-    parts = [grams(w) for w in vocab]
-    start = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    flat = np.concatenate(parts)
+    flat, per_word = grams(list(vocab))
+    start = np.concatenate([[0], np.cumsum(per_word)])
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     acc_e, acc_s, acc_b = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -239,7 +255,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         if own is None:
             own = made["model"] = Model(*shared.value)
         for batch in batches:
-            scores = pa.array([own.score(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.float64())
+            scores = pa.array(own.score(batch.column(batch.num_columns - 1).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=names)
 
     carried = [id_col] if carry is None else carry
@@ -262,6 +278,6 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         if own is None:
             own = made["model"] = Model(*shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([own.score(x.as_py().encode() if x.is_valid else None) < 0.5 for x in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([x < 0.5 for x in own.score(batch.column(at).cast(pa.binary()).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -37,7 +37,6 @@ from pixelsift.llm.mixing import word_count
 
 #: A repeated run of fewer words stays.
 LEAST_WORDS = 50
-_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _key(text: Column) -> Column:
@@ -47,10 +46,12 @@ def _key(text: Column) -> Column:
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """Windows of lines: _id, _th, first and last line, fingerprint with its place, and the digest of their lines."""
     text = F.col(text_col)
-    raw = docs.select(F.col(id_col).alias("_id"), _key(text).alias("_th"), F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
-    norm = F.trim(F.regexp_replace("_line", _SPACE, " "))
-    lines = raw.withColumn("_line", norm).where("_line != ''")
-    lines = lines.select("_id", "_th", "_pos", F.xxhash64("_line").alias("_lh"), F.unhex(F.md5("_line")).alias("_ld"), word_count(F.col("_line")).alias("_words")).distinct()
+    # white space inside lines is squeezed once, before the text is cut
+    squeezed = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")
+    raw = docs.select(F.col(id_col).alias("_id"), _key(text).alias("_th"), F.posexplode(F.split(squeezed, "\n")).alias("_pos", "_line"))
+    lines = raw.select("_id", "_th", "_pos", F.trim("_line").alias("_line")).where("_line != ''")
+    words = F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1
+    lines = lines.select("_id", "_th", "_pos", F.xxhash64("_line").alias("_lh"), F.unhex(F.md5("_line")).alias("_ld"), words.cast("long").alias("_words")).distinct()
     doc = Window.partitionBy("_id", "_th")
     lines = lines.withColumn("_sum", F.sum("_words").over(doc.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_before", F.col("_sum") - F.col("_words"))
     ahead = doc.orderBy("_before").rangeBetween(0, least - 1)
@@ -85,10 +86,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def delete_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the later occurrences of repeated runs; all columns are kept."""
+    # texts are dealt by their key at any size, so a larger corpus costs no more for each of its bytes
     runs = keep(repeated_runs(docs, id_col, text_col, least), "runs")
     cols = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(id_col).alias("_i"), _key(F.col(text_col)).alias("_t"))
-    joined = rows.join(runs, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
+    joined = rows.join(runs.hint("merge"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
     text = F.col("_row").getField(text_col)
     cut = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.exists("runs", lambda r: (i >= r["a"]) & (i <= r["z"]))), "\n")
     return joined.select(*[(F.when(F.col("runs").isNull(), text).otherwise(cut) if c == text_col else F.col("_row").getField(c)).alias(c) for c in cols])

@@ -32,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def word_count(text: Column) -> Column:
     """Number of words: the tokens that white space leaves, counted without building them."""
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.translate(squeezed, " ", "")) + 1).cast("long")
+    return F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def targets(per_source: DataFrame) -> DataFrame:

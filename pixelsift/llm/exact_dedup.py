@@ -43,12 +43,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts."""
     # the surviving row is found by a per-group minimum, so only narrow rows are grouped
-    survivors = duplicate_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    kept = docs.join(survivors, F.col(id_col).eqNullSafe(F.col("_keep")) & (sha == F.col("_sha")), "left_semi")
+    keep = duplicate_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("keep"), "text_sha256").distinct()
+    sha = "__text_sha256__"
+    marked = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    kept = marked.join(keep, marked[id_col].eqNullSafe(keep["keep"]) & (marked[sha] == keep["text_sha256"]), "left_semi")
     # repeated rows (same id, same text) are left: one of each
-    cols = docs.columns
-    return kept.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256)).dropDuplicates([id_col, "_sha"]).select(*[f"`{c}`" for c in cols])
+    return kept.dropDuplicates([id_col, sha]).drop(sha)
 
 
 ORACLE = r"""

@@ -372,5 +372,6 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose id names their component; of rows that agree in id and text, one."""
     stay = keep(linked(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_stay")).count(), "stay")
-    left = docs.join(stay.select("_stay"), F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    ids = stay.select("_stay")
+    left = docs.join(ids, docs[id_col].eqNullSafe(ids["_stay"]), "left_semi")
     return left.dropDuplicates([id_col, text_col]) if stay.where(F.col("count") > 1).limit(1).count() else left

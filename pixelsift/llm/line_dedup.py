@@ -2,7 +2,7 @@
 
 A line's identity is its words, one space between them; blank lines have none. A run is a series of
 consecutive non-blank lines. A line is deleted if it belongs to a run of at least :data:`LEAST_WORDS` words
-that already occurred at a smaller place (document id, then line); the first occurrence of every run stays.
+that already occurred at a smaller place (document id, then line). A run may overlap its earlier occurrence: of one line many times in a row the first stays.
 
 Plan, in DataFrame functions only:
 

@@ -12,7 +12,7 @@ each at most :data:`WINDOWS` windows, evenly spread over the whole text. The 0.5
 are told apart best. Everything else covers all rows and whole texts: after training a word is one number,
 so scoring is a table look-up per word and a running mean, without any shuffle.
 
-Defined results: null and empty texts get the score of the bias alone; labels that are null are ignored,
+Defined results: null, empty and blank texts score 0; labels that are null are ignored,
 of several labels of an id the larger counts; without labels of both kinds all scores are 0; other columns are
 ignored by :func:`score` and carried by :func:`flagged`.
 """
@@ -103,7 +103,7 @@ class Model:
 
     def _odds(self, words: list[bytes]) -> float:
         if not words:
-            return self.bias
+            return -np.inf
         value = np.fromiter(map(self._known.__getitem__, words), np.float64, len(words))
         # a word counts once in a window: where it doesn't occur between the window's start and itself
         order = np.argsort(value, kind="stable")
@@ -211,6 +211,7 @@ def fit(examples: list[tuple[int, list[bytes]]], seed: int = 1) -> Model:
     ends = np.flatnonzero(right >= right.max() - 1e-12)
     lo, hi = ends[0], min(ends[-1] + 1, len(value) - 1)
     mark = 0.3 * value[lo] + 0.7 * value[hi]  # toxic rows that weren't seen score lower than those of the sample
+    mark = max(mark, float(bias[1] - bias[0]) + 1)  # few words, which say nothing, aren't toxic
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0] - mark))
 
 
@@ -239,7 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, id_col: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_windows(x.as_py()) for x in batch.column(2)], pa.list_(pa.binary()))], names=["_id", "_y", "w"])
 
-    picked = docs.join(few, F.col(id_col) == F.col("_id")).select("_id", "_y", F.col(text_col).cast("binary"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("binary").alias("_text"))
+    picked = texts.join(few, F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")
     found = picked.mapInArrow(run, "_id long, _y int, w array<binary>").collect()
     found.sort(key=lambda r: (r._id, [bytes(w) for w in r.w]))
     return fit([(r._y, [bytes(w) for w in r.w]) for r in found])

@@ -153,7 +153,7 @@ def assemble(records: DataFrame) -> DataFrame:
     joined = side.groupBy("concurrent_to").agg(F.collect_set(F.when(F.col("record_type") == "request", item)).alias("requests"), F.collect_set(F.when(F.col("record_type") == "metadata", item)).alias("metadata"))
     main = records.where(F.col("record_type").isin("response", "revisit")).drop("concurrent_to", "fields")
     return main.join(joined.withColumnRenamed("concurrent_to", "record_id"), "record_id", "left").withColumn(
-        "page_id", F.expr("element_at(filter(flatten(transform(metadata, m -> m.fields)), f -> f.name = 'pageId'), 1).value").cast("long")
+        "page_id", F.expr("get(filter(flatten(transform(metadata, m -> m.fields)), f -> f.name = 'pageId'), 0).value").cast("long")
     )
 
 

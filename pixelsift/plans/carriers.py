@@ -5,9 +5,14 @@ SQL twins of each derivation stand beside it, for checking against another engin
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelsift.model import PACKED
+from pixelsift.operators import code128, qr
+
 #: Width of the carrier images made of ``events`` and ``orders``.
 EVENTS_WIDTH, ORDERS_WIDTH = 100, 120
 _M = 1 << 32
@@ -84,6 +89,23 @@ def stego_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.withColumn("argb", argb)
 
 
+def drawn_symbols(texts: DataFrame, kind: str) -> DataFrame:
+    """Packed images of QR or Code 128 symbols for rows of (image_id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            w, h, px = [], [], []
+            for text in batch.column(1).to_pylist():
+                dark = np.pad(qr.encode(text.encode()), 4) if kind == "qr" else np.tile(np.pad(code128.encode(text), 10), (30, 1))
+                dark = np.repeat(np.repeat(dark, 3, 0), 3, 1)
+                h.append(dark.shape[0])
+                w.append(dark.shape[1])
+                px.append(np.where(dark, 0xFF000000, 0xFFFFFFFF).astype(">u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array([False] * len(w)), pa.array(px, pa.binary())], names=["image_id", "width", "height", "has_alpha", "pixels"])
+
+    return texts.select("image_id", "text").mapInArrow(run, PACKED)
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as parts of sequences; every fifth conversation lacks its second part."""
     turns = table(spark, sf_dir, "conversations")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelsift import selfcheck
 from pixelsift.functions import pixels as P
+from pixelsift.functions import regions
 from pixelsift.model import CHANNELS, FLAG_NAMES, LAST_SIGNATURES, LATER_SIGNATURES, RANDOM_MAPS, SIGNATURES, transforms
 from pixelsift.operators import extract as X
-from pixelsift.operators import grids, hexdump, lsbscan, payload, symbols
+from pixelsift.operators import catalogue, grids, hexdump, lsbscan, payload, symbols, symbolscan
 from pixelsift.plans import carriers as C
 from pixelsift.sinks import writers
 from pixelsift.sources import images, structure
@@ -290,6 +292,25 @@ for _kind, _value in (("png", "argb"), ("bmp", f"CAST({_OPAQUE} + {_over('red',
     _add(f"round_trip_{_kind}", lambda s, d, k=_kind: images.to_long(images.read_images(_files(s, d, k)).withColumnRenamed("path", "image_id")).select("x", "y", "argb"), f"SELECT x, y, {_value} AS argb FROM {C.EVENTS_SQL}")
 
 
+# -- decoding -----------------------------------------------------------------------------------------------
+
+
+def _drawn(spark: SparkSession, sf_dir: str, name: str, key: str, text: str, kind: str) -> DataFrame:
+    rows = C.table(spark, sf_dir, name).select(F.col(key).cast("string").alias("image_id"), F.col(text).alias("text"))
+    return symbolscan.scan(C.drawn_symbols(rows, kind)).select("image_id", "format", "text")
+
+
+_add("qr_decode", lambda s, d: _drawn(s, d, "supplier", "s_suppkey", "s_name", "qr"), "SELECT CAST(s_suppkey AS VARCHAR) AS image_id, 'QR_CODE' AS format, s_name AS text FROM supplier")
+_add("code128_decode", lambda s, d: _drawn(s, d, "nation", "n_nationkey", "n_name", "bars"), "SELECT CAST(n_nationkey AS VARCHAR) AS image_id, 'CODE_128' AS format, n_name AS text FROM nation")
+_add("transform_neighbours", lambda s, d: catalogue.catalogue(s))
+_add(
+    "region_algebra",
+    lambda s, d: C.table(s, d, "nation").select("n_nationkey", *[regions.intersect(regions.region(F.col("n_nationkey"), 3, 9, F.col("n_regionkey") + 2), regions.region(5, F.col("n_regionkey"), 11, 7))[f].alias(f) for f in ("x", "y", "width", "height")]),
+    "SELECT n_nationkey, CAST(greatest(n_nationkey, 5) AS INTEGER) AS x, CAST(greatest(3, n_regionkey) AS INTEGER) AS y, CAST(greatest(0, least(n_nationkey + 9, 16) - greatest(n_nationkey, 5)) AS INTEGER) AS width, CAST(greatest(0, least(n_regionkey + 5, n_regionkey + 7) - greatest(3, n_regionkey)) AS INTEGER) AS height FROM nation",
+)
+_add("self_check", lambda s, d: selfcheck.run(s).select("step", "passed"))
+
+
 def queries() -> dict:
     return dict(_Q)
 

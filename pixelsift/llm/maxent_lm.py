@@ -33,7 +33,7 @@ from pixelsift.llm._text import bounds, mix, normalise, spans
 #: Classes (the last is that of the end token), ending types, coarse types that precede.
 CLASSES, TYPES, COARSE = 32, 2048, 64
 #: Rows of weights, features of a token, rounds of updates, tokens in an update.
-BUCKETS, FEATURES, ROUNDS, BATCH, RATE = 1 << 13, 8, 2, 2048, 0.3
+BUCKETS, FEATURES, ROUNDS, BATCH, RATE = 1 << 13, 6, 2, 4096, 0.3
 #: Words whose counts are broadcast, and slots of their table.
 KNOWN, SLOTS = 1 << 17, 1 << 19
 #: Distinct words that a task counts before it sends them; chunks that the weights are sent in.
@@ -125,27 +125,28 @@ class Words:
         return np.where(self.keys[slot] == words, self.counts[slot], 0)
 
 
-def features(words: np.ndarray, kinds: np.ndarray, classes: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    """Rows of weights for each token, from what precedes it; rare words stand for their ending."""
+def features(words: np.ndarray, kinds: np.ndarray, classes: np.ndarray, listed: np.ndarray, part: slice = slice(None)) -> np.ndarray:
+    """Rows of weights for each token of ``part``, from what precedes it; rare words stand for their ending."""
     n = len(words)
     name = np.where(listed, words, mix(kinds.astype(np.uint64) + np.uint64(1 << 40)))
     back = lambda x, k, fill: np.concatenate([np.full(min(k, n), fill, x.dtype), x[: n - k]]) if n > k else np.full(n, fill, x.dtype)
-    w1, w2, w3 = (back(name, k, np.uint64(7)) for k in (1, 2, 3))
+    w1, w2 = (back(name, k, np.uint64(7)) for k in (1, 2))
     c = classes[kinds].astype(np.uint64) + np.uint64(1)
-    c1, c2, c3, c4, c5 = (back(c, k, np.uint64(0)) for k in (1, 2, 3, 4, 5))
-    out = np.empty((n, FEATURES), np.int64)
+    c1, c2, c3, c4 = (back(c, k, np.uint64(0)) for k in (1, 2, 3, 4))
+    w1, w2, c1, c2, c3, c4 = (x[part] for x in (w1, w2, c1, c2, c3, c4))
+    out = np.empty((len(w1), FEATURES), np.int16)
     out[:, 0] = 0
     pair = lambda a, b, c=np.uint64(0): (a * np.uint64(64) + b) * np.uint64(64) + c
-    for k, x in enumerate((w1, w2, w3, w1 * np.uint64(3) ^ w2, pair(c1, c2), pair(c2, c3, c1), pair(c3, c4, c5)), 1):
-        out[:, k] = (mix(x ^ mix(np.array([k], np.uint64))) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+    for k, x in enumerate((w1, w2, w1 * np.uint64(3) ^ w2, pair(c1, c2), pair(c2, c3, c4)), 1):
+        out[:, k] = (mix(x ^ mix(np.array([k], np.uint64))) % np.uint64(BUCKETS - 1)).astype(np.int16) + 1
     return out
 
 
 def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log-probabilities of all classes for each token."""
-    z = weights[rows[:, 0]].copy()
+    z = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, FEATURES):
-        z += weights[rows[:, k]]
+        z += np.take(weights, rows[:, k], axis=0)
     z -= z.max(1, keepdims=True)
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
@@ -154,10 +155,10 @@ def _update(weights: np.ndarray, grown: np.ndarray, use: np.ndarray, rows: np.nd
     error = -np.exp(log_classes(weights, rows))
     error[np.arange(len(target)), target] += 1
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat, kind="stable")  # 16-bit integers: a radix sort
     flat = flat[order]
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    step = np.add.reduceat(error[order // FEATURES], first, axis=0) / len(target)
+    step = np.add.reduceat(np.take(error, order // FEATURES, axis=0), first, axis=0) / len(target)
     row = flat[first]
     grown[row] += (step**2).mean(1)
     weights[row] += RATE * step / np.sqrt(grown[row])[:, None]
@@ -179,7 +180,7 @@ def _training(docs: DataFrame, text_col: str, model, weights, turn: int) -> np.n
                 words, kinds = tokens(text.as_py())
                 part = slice(turn, None, ROUNDS)
                 if len(words) > turn:
-                    rows.append(features(words, kinds, classes, words_.find(words) > 0)[part])
+                    rows.append(features(words, kinds, classes, words_.find(words) > 0, part))
                     target.append(classes[kinds][part])
                     size += len(target[-1])
                 if size >= BATCH:

@@ -62,4 +62,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

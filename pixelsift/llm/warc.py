@@ -162,3 +162,10 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     rows = keep(assemble(keep(read_records(spark, path, with_payload=False).drop("payload"), "records")), "captures")
     targets = keep(rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("_target")), "responses")
     return rows.join(targets, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("_target").alias("refers_to"))
+
+
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT *, CASE WHEN payload_bytes >= {LEAST} THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS target FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = target THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> target THEN target END AS refers_to FROM g
+"""

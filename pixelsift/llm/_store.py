@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are written and done with; else they stay until the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelsift.llm._store import keep
+from pixelsift.llm._store import keep, release
 from pixelsift.llm._text import mix, normalise, shingles
 from pixelsift.llm.components import components
 from pixelsift.llm.trie import PrefixTree, needed
@@ -346,6 +346,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     packed = rows.mapInArrow(emit, f"kind int, part int, id {kind.simpleString()}, key long, h binary, c long, n long, once binary, owner binary, often binary")
     found = keep(packed.repartition(parts, "part").mapInArrow(count, f"kind int, id {kind.simpleString()}, key long, h binary, c long, n long"), "found")
 
+    release(spark)
     each = found.where("kind = 0").select("id", "key", "h", "c", "n")
     low = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key"))
     classes = keep(each.groupBy("h").agg(low.alias("_low"), F.max("c").alias("c"), F.max("n").alias("n")).select("h", "c", "n", F.col("_low.id").alias("first"), F.col("_low.key").alias("key")), "classes")
@@ -358,6 +359,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     near = sets.mapInArrow(_buckets, "key long, c long, n long, items array<long>").hint("rebalance", F.col("key")).sortWithinPartitions("key")
     comps = components(near.mapInArrow(_join_blocks, "a long, b long"))
     comps = keep(comps, "comps")
+    release(spark)
     rest = keep(_remaining(sets, comps), "rest")
     if rest.limit(1).count():
         comps = components(comps.select(F.col("v").alias("a"), F.col("comp").alias("b")).unionByName(rest))
@@ -372,6 +374,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose id names their component; of rows that agree in id and text, one."""
     stay = keep(linked(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_stay")).count(), "stay")
+    release(docs.sparkSession)
     ids = stay.select("_stay")
     left = docs.join(ids, docs[id_col].eqNullSafe(ids["_stay"]), "left_semi")
     return left.dropDuplicates([id_col, text_col]) if stay.where(F.col("count") > 1).limit(1).count() else left

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelsift.llm._store import keep
+from pixelsift.llm._store import keep, release
 from pixelsift.llm.mixing import word_count
 
 #: A repeated run of fewer words stays.
@@ -88,6 +88,7 @@ def delete_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` without the later occurrences of repeated runs; all columns are kept."""
     # texts are dealt by their key at any size, so a larger corpus costs no more for each of its bytes
     runs = keep(repeated_runs(docs, id_col, text_col, least), "runs")
+    release(docs.sparkSession)
     cols = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(id_col).alias("_i"), _key(F.col(text_col)).alias("_t"))
     joined = rows.join(runs.hint("merge"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left")

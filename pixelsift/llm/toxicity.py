@@ -8,7 +8,7 @@ of its most toxic window, so a long text with one insult isn't averaged away.
 Training: on windows, in numpy, embeddings and softmax together (AdaGrad). At first every window of a
 toxic document counts as toxic, later only its currently most toxic one. The labelled rows are a bounded
 sample: at most :data:`PER_CLASS` rows of each label, those with the smallest hash of their id, and of
-each at most :data:`WINDOWS` windows, evenly spread over the whole text. The 0.5 mark is set where the sample's labels
+each at most :data:`WINDOWS` windows (more of toxic ones), evenly spread over the whole text. The 0.5 mark is set where the sample's labels
 are told apart best. Everything else covers all rows and whole texts: after training a word is one number,
 so scoring is a table look-up per word and a running mean, without any shuffle.
 
@@ -19,6 +19,8 @@ ignored by :func:`score` and carried by :func:`flagged`.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pixelsift.llm._text import mix
 
 #: Labelled rows of each class that the classifier is fitted on, at most, and windows of each row.
-PER_CLASS, WINDOWS = {0: 5000, 1: 1500}, 64
+PER_CLASS, WINDOWS = {0: 3000, 1: 1500}, {0: 24, 1: 64}
 WINDOW, STRIDE = 32, 16
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 #: Passes over the toxic windows: the first ones take all of a document's windows, the others its top one.
@@ -61,7 +63,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owners.append(np.arange(len(words)))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    flat = ((np.concatenate(hashes)[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64) % BUCKETS
+    flat = ((np.concatenate(hashes)[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)  # the upper 16 bits: BUCKETS of them
     return flat, np.bincount(owner, minlength=len(words))
 
 
@@ -126,19 +128,22 @@ def fit(examples: list[tuple[int, list[bytes]]], seed: int = 1) -> Model:
         return Model()
     rng = np.random.default_rng(seed)
     vocab: dict[bytes, int] = {}
-    rows, sizes, owner = [], [], []
+    rows, sizes, owners = array("i"), array("i"), array("i")  # compact: the driver's memory is small
     for doc, (_, windows) in enumerate(examples):
         for w in windows:
             ids = list(dict.fromkeys(vocab.setdefault(x, len(vocab)) for x in w.split()[:WINDOW]))
             if ids:
-                rows.append(ids + [0] * (WINDOW - len(ids)))
+                rows.extend(ids + [0] * (WINDOW - len(ids)))
                 sizes.append(len(ids))
-                owner.append(doc)
+                owners.append(doc)
     if not rows:
         return Model()
-    win, size, owner = np.array(rows, np.int32), np.array(sizes, np.int32), np.array(owner)
-    flat, per_word = grams(list(vocab))
-    start = np.concatenate([[0], np.cumsum(per_word)])
+    win, size, owner = np.frombuffer(rows, np.int32).reshape(-1, WINDOW), np.frombuffer(sizes, np.int32), np.frombuffer(owners, np.int32)
+    names = list(vocab)
+    del vocab
+    parts = [grams(names[lo : lo + (1 << 14)]) for lo in range(0, len(names), 1 << 14)]
+    flat, start = np.concatenate([f for f, _ in parts]), np.concatenate([[0], *[n for _, n in parts]]).cumsum()
+    del parts, names
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     acc_e, acc_s, acc_b = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -215,14 +220,15 @@ def fit(examples: list[tuple[int, list[bytes]]], seed: int = 1) -> Model:
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0] - mark))
 
 
-def _windows(text: bytes | None) -> list[bytes]:
+def _windows(text: bytes | None, label: int) -> bytes:
+    """Windows of a labelled text, a line each."""
     words = text.lower().split() if text else []
     if not words:
-        return []
-    starts = window_starts(len(words))
-    if len(starts) > WINDOWS:
-        starts = [starts[i * len(starts) // WINDOWS] for i in range(WINDOWS)]
-    return [b" ".join(words[s : s + WINDOW]) for s in starts]
+        return b""
+    starts, most = window_starts(len(words)), WINDOWS[label]
+    if len(starts) > most:
+        starts = [starts[i * len(starts) // most] for i in range(most)]
+    return b"\n".join(b" ".join(words[s : s + WINDOW]) for s in starts)
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -238,13 +244,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, id_col: str = "
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_windows(x.as_py()) for x in batch.column(2)], pa.list_(pa.binary()))], names=["_id", "_y", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_windows(x.as_py(), y.as_py()) for y, x in zip(batch.column(1), batch.column(2), strict=True)], pa.binary())], names=["_id", "_y", "w"])
 
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("binary").alias("_text"))
     picked = texts.join(few, F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")
-    found = picked.mapInArrow(run, "_id long, _y int, w array<binary>").collect()
-    found.sort(key=lambda r: (r._id, [bytes(w) for w in r.w]))
-    return fit([(r._y, [bytes(w) for w in r.w]) for r in found])
+    found = picked.mapInArrow(run, "_id long, _y int, w binary").collect()
+    rows = sorted((r._id, r._y, bytes(r.w)) for r in found)
+    del found
+    return fit([(y, w.split(b"\n")) for _, y, w in rows])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

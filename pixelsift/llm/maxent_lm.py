@@ -38,6 +38,8 @@ BUCKETS, FEATURES, ROUNDS, BATCH, RATE = 1 << 13, 6, 2, 4096, 0.3
 KNOWN, SLOTS = 1 << 17, 1 << 19
 #: Distinct words that a task counts before it sends them; chunks that the weights are sent in.
 FLUSH, CHUNKS = 1_000_000, 64
+#: Bytes of text that are tokenised together.
+TOGETHER = 1 << 18
 
 END = np.uint64(0x9AE16A3B2F90404F)
 END_TYPE = TYPES - 1
@@ -62,6 +64,28 @@ def tokens(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return words, kinds
 
 
+def many(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of several texts, one after the other: hashes, ending types, and how many each text has."""
+    norms = [normalise(t) for t in texts]
+    words, kinds = tokens(b" ".join(n for n in norms if n))
+    n = np.array([x.count(b" ") + 1 if x else 0 for x in norms], np.int64)
+    ends = np.cumsum(n)
+    return np.insert(words[:-1], ends, END), np.insert(kinds[:-1], ends, END_TYPE), n + 1
+
+
+def groups(texts: list[bytes | None]):
+    """Texts in groups of about :data:`TOGETHER` bytes, so that numpy's cost per call is shared."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or b"")
+        if size >= TOGETHER:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _counter(batches):
     """Rows (word, type, n), and (cell, -1, n) for pairs of a type and the coarse type before it."""
     cells = np.zeros(TYPES * COARSE, np.int64)
@@ -74,13 +98,12 @@ def _counter(batches):
         return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(kinds[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "kind", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            words, kinds = tokens(text.as_py())
+        for part in groups(batch.column(0).to_pylist()):
+            words, kinds, _ = many(part)
             held.append((words, kinds))
             size += len(words)
-            cells += np.bincount(kinds[1:] * COARSE + kinds[:-1] % COARSE, minlength=len(cells)) if len(kinds) > 64 else 0
-            if len(kinds) <= 64:
-                np.add.at(cells, kinds[1:] * COARSE + kinds[:-1] % COARSE, 1)
+            pairs = (kinds[1:] * COARSE + kinds[:-1] % COARSE)[kinds[:-1] != END_TYPE]
+            cells += np.bincount(pairs, minlength=len(cells))
             if size >= 4 * FLUSH:
                 yield send()
                 held, size = [], 0
@@ -125,11 +148,19 @@ class Words:
         return np.where(self.keys[slot] == words, self.counts[slot], 0)
 
 
-def features(words: np.ndarray, kinds: np.ndarray, classes: np.ndarray, listed: np.ndarray, part: slice = slice(None)) -> np.ndarray:
+def features(words: np.ndarray, kinds: np.ndarray, classes: np.ndarray, listed: np.ndarray, sizes: np.ndarray | None = None, part: slice = slice(None)) -> np.ndarray:
     """Rows of weights for each token of ``part``, from what precedes it; rare words stand for their ending."""
     n = len(words)
     name = np.where(listed, words, mix(kinds.astype(np.uint64) + np.uint64(1 << 40)))
-    back = lambda x, k, fill: np.concatenate([np.full(min(k, n), fill, x.dtype), x[: n - k]]) if n > k else np.full(n, fill, x.dtype)
+    sizes = np.array([n]) if sizes is None else sizes  # tokens of each text
+    place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def back(x: np.ndarray, k: int, fill) -> np.ndarray:
+        """The token k before, in the same text."""
+        out = np.roll(x, k)
+        out[place < k] = fill
+        return out
+
     w1, w2 = (back(name, k, np.uint64(7)) for k in (1, 2))
     c = classes[kinds].astype(np.uint64) + np.uint64(1)
     c1, c2, c3, c4 = (back(c, k, np.uint64(0)) for k in (1, 2, 3, 4))
@@ -176,11 +207,11 @@ def _training(docs: DataFrame, text_col: str, model, weights, turn: int) -> np.n
         grown, use = np.full(BUCKETS, 1e-6, np.float32), np.zeros(BUCKETS, np.float32)
         rows, target, size = [], [], 0
         for batch in batches:
-            for text in batch.column(0):
-                words, kinds = tokens(text.as_py())
+            for texts in groups(batch.column(0).to_pylist()):
+                words, kinds, sizes = many(texts)
                 part = slice(turn, None, ROUNDS)
                 if len(words) > turn:
-                    rows.append(features(words, kinds, classes, words_.find(words) > 0, part))
+                    rows.append(features(words, kinds, classes, words_.find(words) > 0, sizes, part))
                     target.append(classes[kinds][part])
                     size += len(target[-1])
                 if size >= BATCH:
@@ -249,19 +280,21 @@ def score(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col:
         known, classes, log_class = model.value
         for batch in batches:
             n, n_known, listed_log, model_log, rare = [], [], [], [], []
-            for text in batch.column(3):
-                words, kinds = tokens(text.as_py())
+            for texts in groups(batch.column(3).to_pylist()):
+                words, kinds, sizes = many(texts)
                 found = known.find(words)
-                rows = features(words, kinds, classes, found > 0)
-                target, total = classes[kinds], 0.0
+                rows = features(words, kinds, classes, found > 0, sizes)
+                target, gained = classes[kinds], np.empty(len(words))
                 for lo in range(0, len(words), BATCH):
                     t = target[lo : lo + BATCH]
-                    total += float(log_classes(shared.value, rows[lo : lo + BATCH])[np.arange(len(t)), t].astype(np.float64).sum())
-                n.append(len(words))
-                n_known.append(int((found > 0).sum()))
-                listed_log.append(float(np.log10(found[found > 0] + 0.5).sum()))
-                model_log.append(total / np.log(10) - float(log_class[target].sum()))
-                rare.append(words[found == 0].view(np.int64))
+                    gained[lo : lo + BATCH] = log_classes(shared.value, rows[lo : lo + BATCH])[np.arange(len(t)), t]
+                gained = gained / np.log(10) - log_class[target]
+                start = np.cumsum(sizes) - sizes
+                n += sizes.tolist()
+                n_known += np.add.reduceat((found > 0).astype(np.int64), start).tolist()
+                listed_log += np.add.reduceat(np.where(found > 0, np.log10(found + 0.5), 0.0), start).tolist()
+                model_log += np.add.reduceat(gained, start).tolist()
+                rare += [w[f == 0].view(np.int64) for w, f in zip(np.split(words, start[1:]), np.split(found, start[1:]), strict=True)]
             made = [pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(listed_log, pa.float64()), pa.array(model_log, pa.float64()), pa.array(rare, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["row", "id", "held_out", "n_tokens", "listed", "listed_log", "model_log", "rare"])
 

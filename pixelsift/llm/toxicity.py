@@ -7,9 +7,9 @@ of its most toxic window, so a long text with one insult isn't averaged away.
 
 Training: on windows, in numpy, embeddings and softmax together (AdaGrad). At first every window of a
 toxic document counts as toxic, later only its currently most toxic one. The labelled rows are a bounded
-sample: at most :data:`PER_CLASS` rows of each label, those with the smallest hash of their id, and of
-each at most :data:`WINDOWS` windows (more of toxic ones), evenly spread over the whole text. The 0.5 mark is set where the sample's labels
-are told apart best. Everything else covers all rows and whole texts: after training a word is one number,
+sample: at most :data:`PER_CLASS` rows of each label, those with the smallest hash of their id, each with
+all its windows. A toxic row's top window, the hardest clean windows and the 0.5 mark, which is set where the
+sample's labels are told apart best, are thus chosen over whole texts, as documents are scored. Everything else covers all rows and whole texts: after training a word is one number,
 so scoring is a table look-up per word and a running mean, without any shuffle.
 
 Defined results: null, empty and blank texts score 0; labels that are null are ignored,
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from pixelsift.llm._text import mix
 
-#: Labelled rows of each class that the classifier is fitted on, at most, and windows of each row.
-PER_CLASS, WINDOWS = {0: 3000, 1: 1500}, {0: 24, 1: 64}
+#: Labelled rows of each class that the classifier is fitted on, at most.
+PER_CLASS = {0: 5000, 1: 1500}
 WINDOW, STRIDE = 32, 16
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
-#: Passes over the toxic windows: the first ones take all of a document's windows, the others its top one.
+#: Passes over the toxic windows: the first ones take all of a document's windows, the others its top one. Of all toxic windows,
+#: each of the first passes draws at most WARM_WINDOWS at random.
 WARM, EPOCHS, BATCH, STEPS, RATE = 2, 8, 128, 1500, 0.25
 WARM_WINDOWS = 12_000
 #: Words whose number a worker remembers, and texts scored together.
@@ -108,10 +109,7 @@ class Model:
             return -np.inf
         value = np.fromiter(map(self._known.__getitem__, words), np.float64, len(words))
         # a word counts once in a window: where it doesn't occur between the window's start and itself
-        order = np.argsort(value, kind="stable")
-        before = np.full(len(words), -1)
-        same = value[order[1:]] == value[order[:-1]]
-        before[order[1:][same]] = order[:-1][same]
+        before = earlier(value)
         starts = np.array(window_starts(len(words)))
         most = -np.inf
         for lo in range(0, len(starts), 1 << 14):
@@ -121,24 +119,38 @@ class Model:
         return self.bias + most / WINDOW
 
 
-def fit(examples: list[tuple[int, list[bytes]]], seed: int = 1) -> Model:
-    """Train on (label, windows of a document as bytes)."""
+def earlier(values: np.ndarray) -> np.ndarray:
+    """Where each value occurred last before its place, or -1."""
+    order = np.argsort(values, kind="stable")
+    before = np.full(len(values), -1, np.int32)
+    same = values[order[1:]] == values[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return before
+
+
+def fit(examples: list[tuple[int, bytes | None]], seed: int = 1) -> Model:
+    """Train on (label, text)."""
     labels = np.array([y for y, _ in examples], np.int64)
     if len(set(labels.tolist())) < 2:
         return Model()
     rng = np.random.default_rng(seed)
     vocab: dict[bytes, int] = {}
-    rows, sizes, owners = array("i"), array("i"), array("i")  # compact: the driver's memory is small
-    for doc, (_, windows) in enumerate(examples):
-        for w in windows:
-            ids = list(dict.fromkeys(vocab.setdefault(x, len(vocab)) for x in w.split()[:WINDOW]))
-            if ids:
-                rows.extend(ids + [0] * (WINDOW - len(ids)))
-                sizes.append(len(ids))
-                owners.append(doc)
-    if not rows:
+    ids, before, starts, owners = array("i"), array("i"), array("i"), array("i")  # words once, windows as their starts: the driver's memory is small
+    for doc, (_, text) in enumerate(examples):
+        words = text.lower().split() if text else []
+        if words:
+            own, at = np.array([vocab.setdefault(x, len(vocab)) for x in words], np.int32), len(ids)
+            was = earlier(own)
+            ids.frombytes(own.tobytes())
+            before.frombytes(np.where(was >= 0, was + at, -1).astype(np.int32).tobytes())
+            first = window_starts(len(words))
+            starts.extend(at + s for s in first)
+            owners.extend([doc] * len(first))
+    if not starts:
         return Model()
-    win, size, owner = np.frombuffer(rows, np.int32).reshape(-1, WINDOW), np.frombuffer(sizes, np.int32), np.frombuffer(owners, np.int32)
+    word, before, begin, owner = (np.frombuffer(x, np.int32) for x in (ids, before, starts, owners))
+    last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))  # the last window of each text
+    closed = np.append(begin[last[:-1] + 1], len(word))[np.searchsorted(last, np.arange(len(owner)))]  # where the text of each window ends
     names = list(vocab)
     del vocab
     parts = [grams(names[lo : lo + (1 << 14)]) for lo in range(0, len(names), 1 << 14)]
@@ -150,6 +162,14 @@ def fit(examples: list[tuple[int, list[bytes]]], seed: int = 1) -> Model:
     toxic_win = np.flatnonzero(labels[owner] == 1)
     clean_win = np.flatnonzero(labels[owner] == 0)
 
+    def words_in(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of windows, and which of them count: those in the text, each distinct word once."""
+        at = begin[windows, None]
+        place = at + np.arange(WINDOW)
+        inside = place < closed[windows, None]
+        place = np.minimum(place, len(word) - 1)
+        return place, inside & (before[place] < at)
+
     def words_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = start[ids + 1] - start[ids]
         where = np.repeat(start[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
@@ -160,14 +180,16 @@ def fit(examples: list[tuple[int, list[bytes]]], seed: int = 1) -> Model:
         return np.add.reduceat(value[flat], start[:-1]) / np.diff(start)
 
     def odds_of_windows() -> np.ndarray:
-        value = odds_of_words()[win]
-        value[np.arange(WINDOW) >= size[:, None]] = 0
-        return value.sum(1) / WINDOW + bias[1] - bias[0]
+        value, out = odds_of_words(), np.empty(len(begin))
+        for lo in range(0, len(begin), 1 << 14):
+            place, mask = words_in(np.arange(lo, min(lo + (1 << 14), len(begin))))
+            out[lo : lo + (1 << 14)] = np.where(mask, value[word[place]], 0).sum(1)
+        return out / WINDOW + bias[1] - bias[0]
 
     def step(batch: np.ndarray, y: np.ndarray) -> None:
         nonlocal soft, bias
-        mask = np.arange(WINDOW) < size[batch][:, None]
-        ids, inverse = np.unique(win[batch][mask], return_inverse=True)
+        place, mask = words_in(batch)
+        ids, inverse = np.unique(word[place][mask], return_inverse=True)
         g, n, at = words_of(ids)
         vec = np.add.reduceat(emb[g], at, axis=0) / n[:, None]
         row = np.repeat(np.arange(len(batch)), mask.sum(1))
@@ -220,17 +242,6 @@ def fit(examples: list[tuple[int, list[bytes]]], seed: int = 1) -> Model:
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0] - mark))
 
 
-def _windows(text: bytes | None, label: int) -> bytes:
-    """Windows of a labelled text, a line each."""
-    words = text.lower().split() if text else []
-    if not words:
-        return b""
-    starts, most = window_starts(len(words)), WINDOWS[label]
-    if len(starts) > most:
-        starts = [starts[i * len(starts) // most] for i in range(most)]
-    return b"\n".join(b" ".join(words[s : s + WINDOW]) for s in starts)
-
-
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a bounded sample of the labelled rows whose crc32(id as text) mod 5 isn't ``held_out``."""
     usable = (
@@ -242,16 +253,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, id_col: str = "
         return Model()
     few = F.broadcast(docs.sparkSession.createDataFrame([(r._id, r._y) for r in chosen], "_id long, _y int"))  # at most sum(PER_CLASS) rows
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_windows(x.as_py(), y.as_py()) for y, x in zip(batch.column(1), batch.column(2), strict=True)], pa.binary())], names=["_id", "_y", "w"])
-
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("binary").alias("_text"))
     picked = texts.join(few, F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")
-    found = picked.mapInArrow(run, "_id long, _y int, w binary").collect()
-    rows = sorted((r._id, r._y, bytes(r.w)) for r in found)
-    del found
-    return fit([(y, w.split(b"\n")) for _, y, w in rows])
+    rows = sorted((r._id, r._y, bytes(r._text or b"")) for r in picked.collect())
+    return fit([(y, text) for _, y, text in rows])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

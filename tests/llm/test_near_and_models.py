@@ -193,3 +193,15 @@ def test_without_labels(spark, docs):
     model = toxicity.train(docs((1, "bad")), labels)
     assert [r.score for r in toxicity.score(docs((1, "bad"), (2, None)), model).collect()] == [0.0, 0.0]
     assert toxicity.score(docs((1, "x")).limit(0), model).count() == 0
+
+
+def test_toxicity_is_fitted_on_whole_texts(spark, docs, monkeypatch):
+    """Every word of long labelled rows of both labels reaches the fit."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(3000 + i))) for i in range(1, 9)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda examples: seen.extend(examples) or toxicity.Model())
+    toxicity.train(docs(*rows), labels)
+    got = {w for _, x in seen for w in (x if isinstance(x, bytes) else b" ".join(x)).split()}
+    assert got == {w.encode() for i, t in rows for w in t.split() if zlib.crc32(str(i).encode()) % 5 != 0}
+    assert {y for y, _ in seen} == {0, 1}

@@ -43,8 +43,8 @@ def _text(codes: list[int]) -> str:
     return "".join(out)
 
 
-def decode_row(row: np.ndarray) -> tuple[str, int, int] | None:
-    """(text, first, last pixel) of the first valid symbol in a row, or None."""
+def decode_all(row: np.ndarray) -> list[tuple[str, int, int]]:
+    """(text, first, last pixel) of the valid symbols in a row, from left to right."""
     at = np.concatenate([[0], np.flatnonzero(np.diff(row.astype(np.int8))) + 1, [len(row)]])
     width = np.diff(at).astype(float)
 
@@ -56,7 +56,8 @@ def decode_row(row: np.ndarray) -> tuple[str, int, int] | None:
         unit = part.sum() / total
         return _CODES.get(tuple(np.clip(np.rint(part / unit), 1, 4).astype(int).tolist()))
 
-    for i in range(len(width)):
+    out, i = [], -1
+    while (i := i + 1) < len(width):
         if not row[at[i]] or code(i) not in _START:
             continue
         codes, k = [code(i)], i + 6
@@ -65,7 +66,13 @@ def decode_row(row: np.ndarray) -> tuple[str, int, int] | None:
             if c == _STOP:
                 check = (codes[0] + sum(j * v for j, v in enumerate(codes[1:-2], 1))) % 103
                 if len(codes) > 3 and check == codes[-2]:
-                    return _text(codes), int(at[i]), int(at[k + 7])
+                    out.append((_text(codes), int(at[i]), int(at[k + 7])))
+                    i = k + 6  # the next one starts behind it
                 break
             k += 6
-    return None
+    return out
+
+
+def decode_row(row: np.ndarray) -> tuple[str, int, int] | None:
+    """(text, first, last pixel) of the first valid symbol in a row, or None."""
+    return next(iter(decode_all(row)), None)

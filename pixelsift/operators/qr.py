@@ -7,7 +7,6 @@ through the affine map they define. Payload bytes, text and raw codewords are ke
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 
@@ -18,6 +17,8 @@ _BLOCKS = {"L": (1, 1, 1, 1, 1, 2, 2, 2, 2, 4), "M": (1, 1, 1, 2, 2, 4, 4, 4, 5,
 _LEVEL_BITS = {"L": 1, "M": 0, "Q": 3, "H": 2}
 _ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ $%*+-./:"
 MOST = 10
+#: Module sizes between two finder patterns of a symbol, at most: 50 in the largest version, and as module sizes are measured along rows, more when turned.
+REACH = 80
 
 _EXP = [1]
 while len(_EXP) < 255:
@@ -329,21 +330,23 @@ def _finders(dark: np.ndarray) -> list[tuple[float, float, float]]:
 
 def locate(dark: np.ndarray, most: int = 32) -> list[Symbol]:
     """Symbols in a picture of dark pixels; every finder pattern belongs to one symbol at most."""
-    finders = _finders(dark)[:60]
+    finders = _finders(dark)
+    where, unit_of = np.array([f[:2] for f in finders]).reshape(-1, 2), np.array([f[2] for f in finders])
     tries = []
-    for three in combinations(range(len(finders)), 3):
-        units = [finders[i][2] for i in three]
-        if max(units) > 1.6 * min(units):
-            continue
-        for corner in three:
-            a, b = (np.array(finders[i][:2]) - finders[corner][:2] for i in three if i != corner)
-            la, lb = np.hypot(*a), np.hypot(*b)
-            if abs(la - lb) < 0.15 * max(la, lb) and abs(a @ b) < 0.15 * la * lb:
-                right, down = (a, b) if a[0] * b[1] - a[1] * b[0] > 0 else (b, a)
-                tries.append((la + lb, three, corner, right, down))
+    for corner in range(len(finders)):
+        away, like = where - where[corner], np.maximum(unit_of, unit_of[corner]) <= 1.6 * np.minimum(unit_of, unit_of[corner])
+        far = np.hypot(away[:, 0], away[:, 1])
+        near = np.flatnonzero(like & (far <= REACH * np.maximum(unit_of, unit_of[corner])) & (np.arange(len(finders)) != corner))
+        v, size, own = away[near], far[near], unit_of[near]
+        longer, product = np.maximum.outer(size, size), np.multiply.outer(size, size)
+        fits = (abs(np.subtract.outer(size, size)) < 0.15 * longer) & (abs(v @ v.T) < 0.15 * product) & (np.maximum.outer(own, own) <= 1.6 * np.minimum.outer(own, own))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(fits, 1))), strict=True):
+            a, b = v[i], v[j]
+            right, down = (a, b) if a[0] * b[1] - a[1] * b[0] > 0 else (b, a)
+            tries.append((float(size[i] + size[j]), tuple(sorted((corner, int(near[i]), int(near[j])))), corner, right, down))
     used: set[int] = set()
     out: list[Symbol] = []
-    for length, three, corner, right, down in sorted(tries, key=lambda t: t[0]):
+    for length, three, corner, right, down in sorted(tries, key=lambda t: t[:3]):
         if used & set(three) or len(out) >= most:
             continue
         unit = sum(finders[i][2] for i in three) / 3

@@ -27,6 +27,7 @@ class Options:
     turns: bool = True
     rescale: bool = True
     deep: bool = False
+    #: Rows in which bars are looked for; a deep scan reads all.
     rows: int = 24
 
 
@@ -46,12 +47,20 @@ def _once(dark: np.ndarray, o: Options) -> list[tuple]:
     if "QR_CODE" in o.formats:
         out += [("QR_CODE", s.text, s.payload, s.points, s.append) for s in qr.locate(dark)]
     if "CODE_128" in o.formats:
-        texts = set()
-        for y in np.unique(np.linspace(0, len(dark) - 1, o.rows + 2).astype(int)[1:-1]):
-            got = code128.decode_row(dark[y])
-            if got and got[0] not in texts:
-                texts.add(got[0])
-                out.append(("CODE_128", got[0], None, [(float(got[1]), float(y)), (float(got[2]), float(y))], None))
+        rows = np.arange(len(dark)) if o.deep else np.unique(np.linspace(0, len(dark) - 1, o.rows + 2).astype(int)[1:-1])
+        gap = max(12, 2 * int(np.diff(rows).max(initial=1)))
+        seen: list[list] = []  # text, first and last pixel, row it was last read in
+        got, last = [], None
+        for y in rows.tolist():
+            if last is None or not np.array_equal(dark[y], dark[last]):
+                got, last = code128.decode_all(dark[y]), y
+            for text, x0, x1 in got:
+                same = [f for f in seen if f[0] == text and f[1] < x1 and x0 < f[2] and y - f[3] <= gap]
+                if same:
+                    same[0][1:] = x0, x1, y
+                else:
+                    seen.append([text, x0, x1, y])
+                    out.append(("CODE_128", text, None, [(float(x0), float(y)), (float(x1), float(y))], None))
     return out
 
 

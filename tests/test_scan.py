@@ -62,6 +62,31 @@ def test_several_and_bars():
     assert symbolscan.scan_image(np.rot90(bars("turned")).copy())[0][1] == "turned"
 
 
+def test_many_symbols_and_false_finders():
+    """30 symbols below a strip of patterns that are finders of no symbol: all are read."""
+    ring = np.pad(np.pad(np.ones((3, 3), bool), 1), 1, constant_values=True)
+    canvas = np.full((130 + 5 * 116, 6 * 116), 0xFFFFFFFF, np.uint32)
+    for k in range(66):
+        y, x = 6 + 40 * (k // 22), 6 + 31 * (k % 22)
+        canvas[y : y + 21, x : x + 21] = np.where(np.repeat(np.repeat(ring, 3, 0), 3, 1), np.uint32(0xFF000000), np.uint32(0xFFFFFFFF))
+    want = []
+    for k in range(30):
+        symbol = draw(qr.encode(b"no %02d" % k, 1, "L"))
+        y, x = 130 + 116 * (k // 6), 116 * (k % 6)
+        canvas[y : y + len(symbol), x : x + symbol.shape[1]] = symbol
+        want.append(b"no %02d" % k)
+    assert sorted(h[2] for h in symbolscan.scan_image(canvas, symbolscan.QUICK)) == want
+
+
+def test_low_bars_and_bars_side_by_side():
+    low, left, right = bars("low")[:3], bars("left"), bars("right")
+    canvas = np.full((600, left.shape[1] + right.shape[1]), 0xFFFFFFFF, np.uint32)
+    canvas[11:14, : low.shape[1]] = low
+    canvas[300:390] = np.concatenate([left, right], 1)
+    assert sorted(h[1] for h in symbolscan.scan_image(canvas)) == ["left", "right"]
+    assert sorted(h[1] for h in symbolscan.scan_image(canvas, symbolscan.THOROUGH)) == ["left", "low", "right"]
+
+
 def test_sequence_through_spark(spark):
     parity = 77
     rows = [(f"i{k}", draw(qr.encode(p, 3, "L", append=(k, 3, parity)))) for k, p in enumerate((b"one ", b"two ", b"three"))]

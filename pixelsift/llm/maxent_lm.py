@@ -33,7 +33,7 @@ from pixelsift.llm._text import bounds, mix, normalise, spans
 #: Classes (the last is that of the end token), ending types, coarse types that precede.
 CLASSES, TYPES, COARSE = 32, 2048, 64
 #: Rows of weights, features of a token, rounds of updates, tokens in an update.
-BUCKETS, FEATURES, ROUNDS, BATCH, RATE = 1 << 13, 6, 2, 4096, 0.3
+BUCKETS, FEATURES, ROUNDS, BATCH, RATE = 1 << 13, 8, 2, 2048, 0.3
 #: Words whose counts are broadcast, and slots of their table.
 KNOWN, SLOTS = 1 << 17, 1 << 19
 #: Distinct words that a task counts before it sends them; chunks that the weights are sent in.
@@ -161,14 +161,14 @@ def features(words: np.ndarray, kinds: np.ndarray, classes: np.ndarray, listed:
         out[place < k] = fill
         return out
 
-    w1, w2 = (back(name, k, np.uint64(7)) for k in (1, 2))
+    w1, w2, w3 = (back(name, k, np.uint64(7)) for k in (1, 2, 3))
     c = classes[kinds].astype(np.uint64) + np.uint64(1)
-    c1, c2, c3, c4 = (back(c, k, np.uint64(0)) for k in (1, 2, 3, 4))
-    w1, w2, c1, c2, c3, c4 = (x[part] for x in (w1, w2, c1, c2, c3, c4))
+    c1, c2, c3, c4, c5 = (back(c, k, np.uint64(0)) for k in (1, 2, 3, 4, 5))
+    w1, w2, w3, c1, c2, c3, c4, c5 = (x[part] for x in (w1, w2, w3, c1, c2, c3, c4, c5))
     out = np.empty((len(w1), FEATURES), np.int16)
     out[:, 0] = 0
     pair = lambda a, b, c=np.uint64(0): (a * np.uint64(64) + b) * np.uint64(64) + c
-    for k, x in enumerate((w1, w2, w1 * np.uint64(3) ^ w2, pair(c1, c2), pair(c2, c3, c4)), 1):
+    for k, x in enumerate((w1, w2, w3, w1 * np.uint64(3) ^ w2, pair(c1, c2), pair(c2, c3, c1), pair(c3, c4, c5)), 1):
         out[:, k] = (mix(x ^ mix(np.array([k], np.uint64))) % np.uint64(BUCKETS - 1)).astype(np.int16) + 1
     return out
 

@@ -156,6 +156,22 @@ def test_class_probabilities_sum_to_one():
     assert (short == rows[:3]).all()  # features look back only
 
 
+def test_features_reach_back():
+    """The word three back has a feature of its own, the types one to five back have theirs."""
+    kinds, classes = np.arange(6), np.arange(maxent_lm.TYPES) % maxent_lm.CLASSES
+    w = np.arange(100, 106).astype(np.uint64)
+    row = lambda w, k: maxent_lm.features(w, k, classes, np.ones(6, bool))[5]
+    assert maxent_lm.FEATURES == 8 and maxent_lm.BATCH == 2048
+    for back, changed in ((3, {3}), (2, {2, 4}), (1, {1, 4})):
+        other = w.copy()
+        other[5 - back] += np.uint64(1000)
+        assert set(np.flatnonzero(row(w, kinds) != row(other, kinds))) == changed
+    for back, changed in ((5, {7}), (4, {7}), (3, {6, 7}), (2, {5, 6}), (1, {5, 6})):
+        other = kinds.copy()
+        other[5 - back] += 10
+        assert set(np.flatnonzero(row(w, kinds) != row(w, other))) == changed
+
+
 @pytest.fixture(scope="module")
 def toxic_texts():
     rng = random.Random(3)

@@ -50,3 +50,68 @@ def test_stages(spark, docs, tmp_path):
     assert all(r.n_tokens == len(r.token_ids) for r in now.collect())
     again = Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, folder).collect())
     assert again == Counter((r.doc_id, r.ids_sha256) for r in now.collect())
+
+
+def test_stages_against_brute_force(spark, docs):
+    """Rows of line_dedup, jaccard_join, mixing and encoding, each on its own input, with all their columns."""
+    import hashlib
+    import zlib
+    from array import array
+    from math import floor
+
+    import public_tokenizers
+    import tiktoken
+    from test_line_dedup import brute
+    from test_mixing_and_media import levels
+    from test_near_and_models import linked_by_hand
+
+    from pixelsift.llm import byte_bpe, mixing
+
+    stages = dict(corpus_pipeline.STAGES)
+    rng = random.Random(8)
+    pool = [f"word{i}" for i in range(200)]
+    lines = [" ".join(rng.choice(pool) for _ in range(rng.randint(5, 30))) for _ in range(25)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6))), f"s{i % 4}") for i in range(80)]
+    for i in range(80, 120):
+        w = rows[i % 7][1].split(" ")
+        w[rng.randrange(len(w))] = "other"
+        rows.append((i, " ".join(w), "s1"))
+    rows += [(2000, None, None), (2001, "", "s0"), (2002, "é  漢\n1.5", "s2")]
+    df = docs(*rows, extra=("slot",))
+    own = df.collect()
+
+    left = brute([(i, t) for i, t, _ in rows], 50)
+    assert any(left[i] != t for i, t, _ in rows)
+    want = Counter((r.doc_id, left[r.doc_id], r.lang, r.source, None if left[r.doc_id] is None else len(left[r.doc_id]), r.slot) for r in own)
+    assert Counter(map(tuple, stages["line_dedup"](spark, df, "").collect())) == want
+
+    kept = Counter(i for i, _, c in linked_by_hand([(i, t) for i, t, _ in rows]) if c is None or c == i)
+    assert len(kept) < len(rows)
+    assert Counter(map(tuple, stages["jaccard_join"](spark, df, "").collect())) == Counter(tuple(r) for r in own if r.doc_id in kept)
+
+    size = {r.doc_id: len((r.text or "").split()) for r in own}
+    sizes = Counter()
+    for r in own:
+        sizes[r.source] += size[r.doc_id]
+    target = levels(sizes)
+    crc = spark.createDataFrame([(r.doc_id, zlib.crc32((r.text or "").encode()), k) for r in own for k in range(mixing.SEEDS)], "i long, c long, k int")
+    draws = {(r.i, r.k): (r.h % (1 << 30)) / (1 << 30) for r in crc.selectExpr("i", "k", "xxhash64(i, c, k) AS h").collect()}
+    copies = {}
+    for s in sizes:
+        rate = min(3.0, target[s] / sizes[s]) if sizes[s] else 0.0
+        mine = [r.doc_id for r in own if r.source == s]
+        tries = [{i: floor(rate) + (draws[i, k] < rate - floor(rate)) for i in mine} for k in range(mixing.SEEDS)]
+        copies |= min(tries, key=lambda t: abs(sum(n * size[i] for i, n in t.items()) - target[s]))
+    want = Counter()
+    for r in own:
+        if copies[r.doc_id]:
+            want[tuple(r)] += copies[r.doc_id]
+    assert Counter(map(tuple, stages["mixing"](spark, df, "").collect())) == want
+
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = Counter()
+    for r in own:
+        ids = coder.encode_ordinary(r.text or "")
+        want[r.doc_id, r.lang, r.source, r.n_chars, r.slot, len(ids), tuple(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    got = stages["byte_bpe"](spark, df, "").collect()
+    assert Counter((r.doc_id, r.lang, r.source, r.n_chars, r.slot, r.n_tokens, tuple(r.token_ids), r.ids_sha256, r.decoded_sha256) for r in got) == want

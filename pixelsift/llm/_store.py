@@ -12,10 +12,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests, one machine)."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset on a local master (tests).
+    A cluster's executors don't share such a folder, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="pixelsift-")

@@ -10,7 +10,9 @@ patterns supported here, so the text is split there first, and the ids of the re
 bounded table per worker; only chunks that are new go through the pattern and the model. Encoding is per
 row: nothing is shuffled, and the model (about a megabyte) is broadcast.
 
-Defined results: a null text is the empty one (no ids); other columns are ignored.
+Defined results: a null text is the empty one (no ids); a text of any length is encoded whole, in one row; equal
+texts have equal ids, in repeated rows too; null ids are carried; an empty table gives an empty table. Columns in
+``carry`` may have any name and type; one named like a column of the result is replaced by it. Others are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Chunks whose ids a worker remembers; beyond it the table starts anew.
 REMEMBERED = 300_000
@@ -155,7 +158,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
             coder = made["coder"] = ByteBPE(model.value, pattern)
         for batch in batches:
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch.column(1):
                 ids = array("I", coder.encode(text.as_py() or ""))
                 decoded = coder.decode(ids)
                 n.append(len(ids))
@@ -164,16 +167,18 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                 if with_ids:
                     all_ids.append(np.frombuffer(ids, np.uint32).astype(np.int32))
                     texts.append(decoded)
-            out = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             if with_ids:
                 out += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    carried = [id_col] if carry is None else carry
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text_col).alias("_text"))
-    names = [*carried, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids", "decoded"] * with_ids]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, schema + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded binary" * with_ids)
+            yield pa.RecordBatch.from_arrays(out, names=["row", *made_names])
+
+    made_names = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids", "decoded"] * with_ids]
+    carried = [c for c in ([id_col] if carry is None else carry) if c not in made_names]
+    # the carried columns travel as one struct, so their names can't meet others
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    made_fields = [T.StructField(n, t) for n, t in zip(made_names, (T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType()), T.BinaryType()))]
+    encoded = rows.mapInArrow(run, T.StructType([rows.schema[0], *made_fields]))
+    return encoded.select(*[F.col("row").getField(c).alias(c) for c in carried], *made_names)
 
 
 def _little(ids: array) -> bytes:

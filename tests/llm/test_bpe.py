@@ -29,7 +29,7 @@ def test_ids_equal_the_library(reference):
 
 def test_documents(docs, reference):
     texts = [(1, None), (2, ""), (3, "Hello  world\n"), (None, "é 1.5"), (3, "Hello  world\n"), (4, "long " * 50_000)]
-    rows = byte_bpe.encode_documents(docs(*texts, extra=("n_tokens_",)), PATH, P.PATTERN).collect()
+    rows = byte_bpe.encode_documents(docs(*texts, extra=("n_tokens", "ids_sha256", "decoded", "token_ids", "_text", "row", "text_")), PATH, P.PATTERN).collect()
     assert len(rows) == len(texts)
     for r in rows:
         text = bytes(r.decoded).decode()
@@ -37,3 +37,11 @@ def test_documents(docs, reference):
         assert (r.n_tokens, list(r.token_ids)) == (len(ids), ids) and r.ids_sha256 == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert byte_bpe.encode_documents(docs((1, "x")).limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_carried_columns(docs):
+    """Columns named like the operator's own are carried, those named like a new column are replaced."""
+    df = docs((1, "a b c"), (None, None), extra=("n_tokens", "_text", "row", "decoded_sha256"))
+    out = byte_bpe.encode_documents(df, PATH, P.PATTERN, carry=[c for c in df.columns if c != "text"])
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "_text", "row", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "decoded"]
+    assert {(r.doc_id, r.n_tokens, r._text, r.row) for r in out.collect()} == {(1, 3, 7, 7), (None, 0, 7, 7)}

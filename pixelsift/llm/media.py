@@ -9,7 +9,8 @@ fingerprint is one 64-bit integer: the anchor's frame in the upper 32 bits, then
 so memory is bounded by the row.
 
 Defined results: a null text is the empty one (64 zero bytes); audio shorter than a frame is one padded
-frame; equal texts give equal values, whatever their rows; other columns are ignored.
+frame; equal texts give equal values, whatever their rows; null ids are carried; a text of any length is one row, whole;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def media_features(media: DataFrame, id_col: str = "doc_id", with_array: bool = True) -> DataFrame:
+def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Read the WAV column back: digests of payload and stored form, the fingerprint array and its digest."""
 
     def run(batches):
@@ -108,7 +109,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id", with_array: bool =
                 out["tail_crc32"].append(zlib.crc32(payload[-PAD:]))
                 out["media_bytes"].append(len(stored))
                 out["media_sha256"].append(hashlib.sha256(stored).hexdigest())
-                out["fingerprints"].append(prints if with_array else None)
+                out["fingerprints"].append(prints)
                 out["feature"].append(f"{len(prints)}:{hashlib.sha256(prints.astype('<i8').tobytes()).hexdigest()}")
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], names=[id_col, "n_bytes", *out])

@@ -41,7 +41,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.with_media(_documents(spark, sf_dir)), with_array=False).drop("fingerprints")
+    return media.media_features(media.with_media(_documents(spark, sf_dir)))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,8 +84,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("runs"))
 
 
-def delete_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` without the later occurrences of repeated runs; all columns are kept."""
+def delete_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` without the later occurrences of repeated runs; all columns are kept. With ``drop_emptied``,
+    documents that lose all their words go; those that had none before stay."""
     # texts are dealt by their key at any size, so a larger corpus costs no more for each of its bytes
     runs = keep(repeated_runs(docs, id_col, text_col, least), "runs")
     release(docs.sparkSession)
@@ -94,6 +95,8 @@ def delete_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     joined = rows.join(runs.hint("merge"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
     text = F.col("_row").getField(text_col)
     cut = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.exists("runs", lambda r: (i >= r["a"]) & (i <= r["z"]))), "\n")
+    if drop_emptied:
+        joined = joined.where(F.col("runs").isNull() | cut.rlike(r"[^\x20\x09-\x0D]"))
     return joined.select(*[(F.when(F.col("runs").isNull(), text).otherwise(cut) if c == text_col else F.col("_row").getField(c)).alias(c) for c in cols])
 
 

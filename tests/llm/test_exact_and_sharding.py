@@ -49,7 +49,26 @@ def test_copies_of_one_record_are_spread(spark, docs):
     texts = [(7, "same " * 50)] * 2000 + [(i, "other") for i in range(100, 2100)]
     rows = sharding.shard(docs(*texts).repartition(16), 8).collect()
     sizes = check_shards(rows, texts, 8)
-    assert max(sizes) < 1.4 * sum(sizes) / 8
+    assert max(sizes) - min(sizes) <= 266
+    assert max(Counter(r.shard for r in rows if r.doc_id == 7).values()) < 260
+
+
+def test_equal_records_only(docs):
+    """Whatever the number of copies, shards and input partitions: at most one record's size between any two shards."""
+    for n, shards, parts in ((2000, 8, 1), (2000, 40, 16), (2001, 40, 1), (30, 40, 3)):
+        texts = [(7, "same " * 50)] * n
+        got = sharding.shard(docs(*texts).repartition(parts), shards).collect()
+        sizes = check_shards(got, texts, shards)
+        assert max(sizes) - min(sizes) <= 266, (n, shards, parts)
+    other = sharding.shard(docs(*[(7, "same " * 50)] * 30).repartition(9), 40).collect()
+    assert Counter((r.virtual_slot, r.split, r.shard, r.slot) for r in got) == Counter((r.virtual_slot, r.split, r.shard, r.slot) for r in other)
+
+
+def test_a_very_long_text(docs):
+    texts = [(1, "x" * 3_000_000), *[(i, "w" * 100) for i in range(2, 300)], (None, "w"), (None, "w")]
+    sizes = check_shards(sharding.shard(docs(*texts), 4).collect(), texts, 4)
+    rest = sorted(sizes)[:3]
+    assert max(sizes) == 3_000_016 and rest[-1] - rest[0] <= 116
 
 
 def test_odd_tables(docs):

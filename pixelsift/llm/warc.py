@@ -13,7 +13,11 @@ is the response and the others refer to it. Only (digest, length, largest id) of
 joined to the pages; groups of any size are aggregated before they are shuffled, and the joins on a
 digest or a response are ones whose large partitions Spark can split.
 
-Defined results: a null html is an empty payload; a null page_id loses against any other (a group with
+Files are bounded in bytes, however large single pages are: captures of payloads up to :data:`SMALL` bytes
+share files of :data:`FILE_RECORDS` records, larger ones have a file each.
+
+Defined results: a null html is an empty payload; page ids may be of any type that can be compared and cast to
+text; payloads may have any length that fits a row; a null page_id loses against any other (a group with
 null ids only has responses only); rows that agree in page_id and payload are the same kind of record and
 give a capture each; white space and controls in a URL are written as %20, a null URL is empty; an empty
 table gives an empty archive and no captures; other columns are ignored.
@@ -32,8 +36,8 @@ from pixelsift.llm._store import keep
 
 #: Shorter payloads are always stored in full.
 LEAST = 1000
-#: Records in one archive file, at most.
-FILE_RECORDS = 3000
+#: Records in one archive file, at most, and the payloads that share one.
+FILE_RECORDS, SMALL = 3000, 1 << 16
 
 RECORD_SCHEMA = (
     "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, warc_date string, "
@@ -83,9 +87,10 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
             ],
             F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("html"))),
         ),
-        _record(F.lit("metadata"), [("WARC-Record-ID", _id("metadata", F.col("page_id"), F.col("digest"))), *common, ("WARC-Concurrent-To", F.col("capture")), ("Content-Type", F.lit("application/warc-fields"))], F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))),
+        _record(F.lit("metadata"), [("WARC-Record-ID", _id("metadata", F.col("page_id"), F.col("digest"))), *common, ("WARC-Concurrent-To", F.col("capture")), ("Content-Type", F.lit("application/warc-fields"))], F.coalesce(F.concat(F.lit("pageId: "), F.url_encode(F.col("page_id").cast("string")), F.lit("\r\n")), F.lit(""))),
     )
-    typed.select(F.explode(records).alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    for rows, most in ((typed.where(F.col("bytes") <= SMALL), FILE_RECORDS), (typed.where(F.col("bytes") > SMALL), 3)):
+        rows.select(F.explode(records).alias("value")).write.mode("append").option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes):
@@ -146,20 +151,21 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: the response or revisit with the request and metadata records concurrent to it."""
+def assemble(records: DataFrame, id_type: str = "long") -> DataFrame:
+    """One nested row per capture: the response or revisit with the request and metadata records concurrent to it.
+    ``id_type``: that of the pages' ids."""
     side = records.where(F.col("record_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     item = F.struct("record_id", "target_uri", "warc_date", "fields")
     joined = side.groupBy("concurrent_to").agg(F.collect_set(F.when(F.col("record_type") == "request", item)).alias("requests"), F.collect_set(F.when(F.col("record_type") == "metadata", item)).alias("metadata"))
     main = records.where(F.col("record_type").isin("response", "revisit")).drop("concurrent_to", "fields")
     return main.join(joined.withColumnRenamed("concurrent_to", "record_id"), "record_id", "left").withColumn(
-        "page_id", F.expr("get(filter(flatten(transform(metadata, m -> m.fields)), f -> f.name = 'pageId'), 0).value").cast("long")
+        "page_id", F.url_decode(F.expr("get(filter(flatten(transform(metadata, m -> m.fields)), f -> f.name = 'pageId'), 0).value")).cast(id_type)
     )
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
+def captures(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """Per capture without its payload: page_id, payload_bytes, payload_digest, record_type and refers_to as a page_id."""
-    rows = keep(assemble(keep(read_records(spark, path, with_payload=False).drop("payload"), "records")), "captures")
+    rows = keep(assemble(keep(read_records(spark, path, with_payload=False).drop("payload"), "records"), id_type), "captures")
     targets = keep(rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("_target")), "responses")
     return rows.join(targets, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("_target").alias("refers_to"))
 

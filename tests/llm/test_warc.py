@@ -51,3 +51,13 @@ def test_parser():
     import gzip
 
     assert warc.unzip(gzip.compress(one) + gzip.compress(one)) == one * 2 and warc.unzip(one) == one
+
+
+def test_text_ids_and_large_pages(spark, tmp_path, monkeypatch):
+    """Ids that are text, with line breaks in them; payloads above the bound have a file of their own."""
+    monkeypatch.setattr(warc, "SMALL", 2000)
+    rows = [("a\r\nb", "u", LONG), ("z%41é", "u", LONG), ("big", "u", "p" * 3_000_000), ("big2", "u", "p" * 3_000_000), (None, "u", "q")]
+    warc.write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.captures(spark, str(tmp_path / "w"), "string").collect()}
+    assert got == {"a\r\nb": (len(LONG.encode()), "revisit", "z%41é"), "z%41é": (len(LONG.encode()), "response", None), "big": (3_000_000, "revisit", "big2"), "big2": (3_000_000, "response", None), None: (1, "response", None)}
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 3

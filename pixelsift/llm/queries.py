@@ -17,9 +17,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "warc")
-    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return warc.captures(spark, path)
+    path, pages = shared_path(spark, "warc"), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    warc.write_archive(pages, path)
+    return warc.captures(spark, path, pages.schema["page_id"].dataType.simpleString())
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

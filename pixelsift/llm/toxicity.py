@@ -5,16 +5,20 @@ that was never seen shares most of its vectors with the words it resembles. The
 consecutive words are averaged, each distinct word once and padding as zero, and go through a linear softmax of two classes. A document's score is that
 of its most toxic window, so a long text with one insult isn't averaged away.
 
-Training: on windows, in numpy, embeddings and softmax together (AdaGrad). At first every window of a
-toxic document counts as toxic, later only its currently most toxic one. The labelled rows are a bounded
-sample: at most :data:`PER_CLASS` rows of each label, those with the smallest hash of their id, each with
-all its windows. A toxic row's top window, the hardest clean windows and the 0.5 mark, which is set where the
-sample's labels are told apart best, are thus chosen over whole texts, as documents are scored. Everything else covers all rows and whole texts: after training a word is one number,
-so scoring is a table look-up per word and a running mean, without any shuffle.
-
-Defined results: null, empty and blank texts score 0; labels that are null are ignored,
-of several labels of an id the larger counts; without labels of both kinds all scores are 0; other columns are
-ignored by :func:`score` and carried by :func:`flagged`.
+Training: on windows, in numpy, embeddings and softmax together (AdaGrad). The labelled rows are a bounded
+sample: of each label at most :data:`PER_CLASS` rows and :data:`FIT_BYTES` bytes of text, those with the smallest
+hash of their id; a row is taken whole or not at all. Every pass uses every window of every sampled clean row. The
+first passes use every window of every toxic row too, which then all count as toxic; in the later ones each toxic
+row stands with its currently most toxic window, as documents are scored. Either label weighs the same in total
+(clean ones double in the first passes), so nothing is left out to balance them. The 0.5 mark is set where the
+sample's labels are told apart best, over whole texts. Everything else covers all rows and whole texts: after
+training a word is one number, so scoring is a table look-up per word and a running mean, without any shuffle.
+
+Defined results: null, empty and blank texts score 0; texts of any length are scored over all their windows;
+repeated rows score alike; labels that are null are ignored, of several labels of an id the larger counts, of
+several texts of an id the smallest is learned from; without labels of both kinds all scores are 0; ids may be of
+any type, a null id is never held out; an empty table gives an empty table; other columns are ignored by
+:func:`score` (those in ``carry`` go along, unless named like a column of the result) and carried by :func:`clean`.
 """
 
 from __future__ import annotations
@@ -25,17 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pixelsift.llm._store import keep
 from pixelsift.llm._text import mix
 
-#: Labelled rows of each class that the classifier is fitted on, at most.
+#: Labelled rows of each class that the classifier is fitted on, and bytes of their texts, at most.
 PER_CLASS = {0: 5000, 1: 1500}
+FIT_BYTES = {0: 32 << 20, 1: 16 << 20}
 WINDOW, STRIDE = 32, 16
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
-#: Passes over the toxic windows: the first ones take all of a document's windows, the others its top one. Of all toxic windows,
-#: each of the first passes draws at most WARM_WINDOWS at random.
-WARM, EPOCHS, BATCH, STEPS, RATE = 2, 8, 128, 1500, 0.25
-WARM_WINDOWS = 12_000
+#: Passes over all windows of the sample, of which the first take all windows of toxic rows and the others their top
+#: one; few windows get more passes, at most MOST_PASSES, until there are STEPS updates. Windows in an update.
+WARM, PASSES, MOST_PASSES, STEPS, BATCH, RATE = 0.6, 8, 40, 2500, (64, 512), 0.25
 #: Words whose number a worker remembers, and texts scored together.
 REMEMBERED, TOGETHER = 500_000, 64
 
@@ -186,7 +192,7 @@ def fit(examples: list[tuple[int, bytes | None]], seed: int = 1) -> Model:
             out[lo : lo + (1 << 14)] = np.where(mask, value[word[place]], 0).sum(1)
         return out / WINDOW + bias[1] - bias[0]
 
-    def step(batch: np.ndarray, y: np.ndarray) -> None:
+    def step(batch: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         nonlocal soft, bias
         place, mask = words_in(batch)
         ids, inverse = np.unique(word[place][mask], return_inverse=True)
@@ -199,18 +205,18 @@ def fit(examples: list[tuple[int, bytes | None]], seed: int = 1) -> Model:
         prob = np.exp(z - z.max(1, keepdims=True))
         prob /= prob.sum(1, keepdims=True)
         prob[np.arange(len(batch)), y] -= 1
+        prob *= (weight / weight.sum())[:, None].astype(np.float32)
         d_hidden = prob @ soft.T
-        ds, db = hidden.T @ prob / len(batch), prob.mean(0)
+        ds, db = hidden.T @ prob, prob.sum(0)
         acc_s[...] += ds**2
         acc_b[...] += db**2
         soft = soft - RATE * ds / np.sqrt(acc_s)
         bias = bias - RATE * db / np.sqrt(acc_b)
         dw = np.stack([np.bincount(inverse, d_hidden[row, k] * share, len(ids)) for k in range(DIM)], 1) / n[:, None]
-        used, back = np.unique(g, return_inverse=True)
-        owner_word = np.repeat(np.arange(len(ids)), n)
-        de = np.stack([np.bincount(back, dw[owner_word, k], len(used)) for k in range(DIM)], 1).astype(np.float32) / len(batch)
-        acc_e[used] += (de**2).mean(1)
-        emb[used] -= RATE * de / np.sqrt(acc_e[used])[:, None]
+        of_word = np.repeat(np.arange(len(ids)), n)
+        de = np.stack([np.bincount(g, dw[of_word, k], BUCKETS) for k in range(DIM)], 1).astype(np.float32)
+        acc_e[...] += (de**2).mean(1)
+        emb[...] -= RATE * de / np.sqrt(acc_e)[:, None]
 
     def top_windows() -> np.ndarray:
         odds = odds_of_windows()[toxic_win]
@@ -218,16 +224,17 @@ def fit(examples: list[tuple[int, bytes | None]], seed: int = 1) -> Model:
         docs = owner[toxic_win][order]
         return toxic_win[order[np.r_[True, docs[1:] != docs[:-1]]]]
 
-    rounds = min(40, max(EPOCHS, -(-STEPS * BATCH // (4 * min(len(toxic_win), WARM_WINDOWS)))))  # few rows: more passes
-    for epoch in range(rounds):
-        warm = epoch < rounds * WARM // EPOCHS
-        pos = rng.permutation(toxic_win)[:WARM_WINDOWS] if warm else np.repeat(top_windows(), 4)
-        hard = clean_win[np.argsort(-odds_of_windows()[clean_win], kind="stable")[: 2 * len(pos)]]
-        neg = np.concatenate([hard[:0] if warm else hard, rng.permutation(clean_win)[: 2 * len(pos)]])
-        every = rng.permutation(np.concatenate([pos, neg]))
-        for lo in range(0, len(every), BATCH):
-            batch = every[lo : lo + BATCH]
-            step(batch, labels[owner[batch]])
+    size = int(np.clip(len(begin) // 200, *BATCH))
+    rounds = min(MOST_PASSES, max(PASSES, -(-STEPS * size // len(begin))))
+    for turn in range(rounds):
+        warm = turn < rounds * WARM
+        pos = toxic_win if warm else top_windows()
+        weigh = np.array([1.0, len(clean_win) / len(pos) / (2 if warm else 1)])
+        every = rng.permutation(np.concatenate([pos, clean_win]))
+        for lo in range(0, len(every), size):
+            batch = every[lo : lo + size]
+            y = labels[owner[batch]]
+            step(batch, y, weigh[y])
     most = np.full(len(labels), -np.inf)
     np.maximum.at(most, owner, odds_of_windows())
     seen = np.isfinite(most)
@@ -242,20 +249,37 @@ def fit(examples: list[tuple[int, bytes | None]], seed: int = 1) -> Model:
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0] - mark))
 
 
+def _sampled(usable: DataFrame, most: int) -> list:
+    """The ``most`` rows of (_id, _y) with the smallest hash of their id, by way of a histogram of the hashes."""
+    hashed = usable.withColumn("_h", F.xxhash64("_id")).withColumn("_b", F.shiftrightunsigned("_h", 52))
+    cut, n = 0, 0
+    for r in hashed.groupBy("_b").count().orderBy("_b").collect():  # at most 4096 rows
+        cut, n = r._b, n + r["count"]
+        if n >= most:
+            break
+    return sorted(hashed.where(F.col("_b") <= cut).collect(), key=lambda r: (r._b, r._h, str(r._id)))[:most]  # most, and the rest of a 4096th
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a bounded sample of the labelled rows whose crc32(id as text) mod 5 isn't ``held_out``."""
     usable = (
         labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) != held_out))
-        .groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("_y"))
+        .groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
     )
-    chosen = [r for y in (0, 1) for r in usable.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(PER_CLASS[y]).collect()]
+    chosen = [r for y in (0, 1) for r in _sampled(usable.where(F.col("_y") == y), PER_CLASS[y])]
     if len({r._y for r in chosen}) < 2:
         return Model()
-    few = F.broadcast(docs.sparkSession.createDataFrame([(r._id, r._y) for r in chosen], "_id long, _y int"))  # at most sum(PER_CLASS) rows
-
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("binary").alias("_text"))
-    picked = texts.join(few, F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")
-    rows = sorted((r._id, r._y, bytes(r._text or b"")) for r in picked.collect())
+    kind = T.StructType([usable.schema["_id"], T.StructField("_y", T.IntegerType()), T.StructField("_n", T.IntegerType())])
+    few = F.broadcast(docs.sparkSession.createDataFrame([(r._id, r._y, n) for n, r in enumerate(chosen)], kind))  # at most sum(PER_CLASS) rows
+
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
+    picked = keep(texts.join(few, F.col("_doc") == F.col("_id")).groupBy("_n", "_y").agg(F.min("_text").alias("_text")), "sample")
+    left, taken = dict(FIT_BYTES), []
+    for r in picked.select("_n", "_y", F.octet_length("_text").alias("b")).orderBy("_n").collect():
+        if r.b <= left[r._y]:  # a text that doesn't fit is passed over whole
+            left[r._y] -= r.b
+            taken.append(r._n)
+    rows = sorted((r._n, r._y, bytes(r._text)) for r in picked.where(F.col("_n").isin(taken)).collect()) if taken else []
     return fit([(y, text) for _, y, text in rows])
 
 
@@ -269,16 +293,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         if own is None:
             own = made["model"] = Model(*shared.value)
         for batch in batches:
-            scores = pa.array(own.score(batch.column(batch.num_columns - 1).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=names)
-
-    carried = [id_col] if carry is None else carry
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text_col).cast("binary").alias("_text"))
-    names = [*carried, "_score"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", _score double"
-    scored = rows.mapInArrow(run, schema)
-    held = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0
-    return scored.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(held, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+            scores = pa.array(own.score(batch.column(2).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["row", "held_out", "score"])
+
+    carried = [c for c in ([id_col] if carry is None else carry) if c not in ("held_out", "score", "predicted")]
+    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(False))
+    # the carried columns travel as one struct, so their names can't meet others
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), held.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
+    scored = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType())]))
+    return scored.select(*[F.col("row").getField(c).alias(c) for c in carried], "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

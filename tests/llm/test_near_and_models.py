@@ -6,6 +6,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelsift.llm import components, jaccard_join, maxent_lm, toxicity
 from pixelsift.llm._text import normalise, shingles, spans
@@ -204,6 +205,66 @@ def test_toxicity(spark, docs, toxic_texts):
     assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, r in got.items() if not r.predicted)
 
 
+def score_by_hand(model, text):
+    """The score from the weights alone: means of n-grams, windows of 32 words 16 apart, each distinct word once."""
+    w = (text or b"").lower().split()
+    if not w:
+        return 0.0
+    full = 1 << 64
+
+    def scramble(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % full
+        return x ^ x >> 31
+
+    def value(word):
+        b = b"<" + (word.strip(b".,;:!?\"'()[]") or word) + b">"
+        hashes = [sum(scramble((c * 0x9E3779B97F4A7C15 + i) % full) for i, c in enumerate(b)) % full]
+        for n in (3, 4, 5):
+            for i in range(len(b) - n + 1):
+                h = n
+                for c in b[i : i + n]:
+                    h = (h ^ c) * 0x100000001B3 % full
+                hashes.append(h)
+        buckets = [(h * 0x9E3779B97F4A7C15 % full) >> 48 for h in hashes]
+        return sum(float(model.weights[x]) for x in buckets) / len(buckets)
+
+    starts = [0] if len(w) <= 32 else [*range(0, len(w) - 32, 16), len(w) - 32]
+    most = max(sum(value(x) for x in set(w[s : s + 32])) for s in starts)
+    return 1 / (1 + np.exp(-(model.bias + most / 32)))
+
+
+def test_scores_by_hand(toxic_texts):
+    rows, _ = toxic_texts
+    model = toxicity.fit([(y, t.encode()) for _, t, y in rows[:300]])
+    texts = [t.encode() for _, t, _ in rows[300:360]] + [None, b"", b" \n", b"!!! a", "É, «x» idiot!".encode(), b"same " * 100, b"x" * 5000]
+    assert np.allclose(model.score(texts), [score_by_hand(model, t) for t in texts], atol=1e-6)
+
+
+def test_toxicity_of_other_ids_and_names(spark, docs, toxic_texts):
+    """Ids of any type, several rows of an id, clashing names, and a bound on the bytes of the sample."""
+    rows, _ = toxic_texts
+    df = docs(*[(i, t) for i, t, _ in rows], rows[0][:2], extra=("_score", "_row", "held_out", "text_")).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(f"d{i}", 0, y) for i, _, y in rows], "doc_id string, quality int, toxic int")
+    out = toxicity.score(df, toxicity.train(df, labels), carry=["doc_id", "_score", "_row", "held_out"])
+    assert out.columns == ["doc_id", "_score", "_row", "held_out", "score", "predicted"]
+    got = out.collect()
+    assert len(got) == len(rows) + 1 and all(r._score == 7 and r.held_out == (zlib.crc32(r.doc_id.encode()) % 5 == 0) for r in got)
+    truth = {f"d{i}": y for i, _, y in rows}
+    assert sum(r.predicted == truth[r.doc_id] for r in got) > 0.97 * len(got)
+
+
+def test_the_sample_is_bounded(spark, docs, monkeypatch):
+    rows = [(i, "word " * (5000 if i % 50 == 3 else 100)) for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "PER_CLASS", {0: 40, 1: 30})
+    monkeypatch.setattr(toxicity, "FIT_BYTES", {0: 10_000, 1: 20_000})
+    monkeypatch.setattr(toxicity, "fit", lambda examples: seen.extend(examples) or toxicity.Model())
+    toxicity.train(docs(*rows), labels)
+    assert Counter(y for y, _ in seen)[0] == 20 and 0 < Counter(y for y, _ in seen)[1] <= 30 and all(len(t) == 500 for _, t in seen)
+
+
 def test_without_labels(spark, docs):
     labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs((1, "bad")), labels)

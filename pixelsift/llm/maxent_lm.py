@@ -1,9 +1,16 @@
 """A hashed maximum-entropy language model: n-gram and skip features, class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(word | class). The class distribution is a
-log-linear model over hashed features of the history: the last words, word pairs, skips, and pairs of
-classes. Within a class, words have their smoothed share of the class's training tokens; every class keeps
-half a count for words it never saw, so all words have a probability.
+log P(word | history) = log P(class | history) + log P(leaf | class, history) + log P(word | leaf). All of the first
+two is log-linear in hashed features of the history. The classes share one softmax, over the last words, word pairs,
+skips and pairs of classes. Inside a class, the words are the leaves of a binary tree, by the bits of their hashes,
+and each step down is a softmax of two: the counts below either branch, plus learned weights for (node, last word),
+(node, last two words) and (node, word before the last). So word n-grams decide between any two words of a class
+that don't share a leaf. The few words of a leaf have their smoothed share of its training tokens; every leaf keeps
+half a count for words it never saw, so all words have a probability, and all of them sum to one.
+
+Every word goes into the features by its own hash. What is learned grows with the input: rows of class weights with
+the number of distinct words, levels of the trees too, cells of tree weights with the number of training tokens, up to
+:data:`MOST` (what a worker holds in memory); all counts are exact at any size.
 
 Steps, each over all training documents and all their tokens:
 
@@ -11,29 +18,56 @@ Steps, each over all training documents and all their tokens:
    aggregated by Spark. The endings are clustered into classes by what precedes them (a table of fixed size).
 2. Distributed gradient updates: in each of :data:`ROUNDS` rounds every task starts from the shared
    weights, makes sparse AdaGrad updates on its share of the tokens (each token is used in one round), and
-   sends back the rows it touched; rows are averaged by use, in packed chunks that are summed in a stream.
+   sends back its changes, which are averaged by use (class weights) or by their summed squared gradients (tree
+   weights), in packed chunks that are summed in a stream.
 3. Scoring in sparse numpy batches. The counts of the most frequent words come from a table of bounded size
    (:data:`KNOWN` words); all other tokens find theirs in a join with the whole count table, so counts are
    exact and nothing that grows with the corpus is broadcast or collected.
 
-Defined results: null and empty texts are one end token; null ids are never held out; rows with equal ids
-are scored each by itself; without training tokens all counts are 0; other columns are ignored.
+Defined results: null and empty texts are one end token; texts of any length are scored whole; null ids are never
+held out; rows with equal ids or texts are scored each by itself; without training tokens all counts are 0; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelsift.llm._store import keep
 from pixelsift.llm._text import bounds, mix, normalise, spans
 
 #: Classes (the last is that of the end token), ending types, coarse types that precede.
 CLASSES, TYPES, COARSE = 32, 2048, 64
-#: Rows of weights, features of a token, rounds of updates, tokens in an update.
-BUCKETS, FEATURES, ROUNDS, BATCH, RATE = 1 << 13, 8, 2, 2048, 0.3
+#: Features of a token for its class, and for each step down the tree of its class.
+FEATURES, TREE_FEATURES = 8, 3
+#: Rounds of updates, tokens in an update, step sizes of either table.
+ROUNDS, BATCH, RATE, TREE_RATE = 2, 2048, 0.3, 0.15
+
+
+class Shape(NamedTuple):
+    """Sizes of what is learned, as powers of two: rows of class weights, levels of the trees, cells of tree weights."""
+
+    rows: int
+    levels: int
+    cells: int
+
+
+#: Least and most of each; rows are numbered in 16 bits.
+LEAST, MOST = Shape(13, 4, 14), Shape(16, 10, 21)
+
+
+def shape_for(distinct: int, n_tokens: int) -> Shape:
+    """About a row for four words, a leaf for two, and a cell for a training token."""
+    want = Shape(distinct.bit_length() - 2, (distinct // (2 * CLASSES)).bit_length(), n_tokens.bit_length())
+    return Shape(*(min(max(x, lo), hi) for x, lo, hi in zip(want, LEAST, MOST)))
+
+
 #: Words whose counts are broadcast, and slots of their table.
 KNOWN, SLOTS = 1 << 17, 1 << 19
 #: Distinct words that a task counts before it sends them; chunks that the weights are sent in.
@@ -148,29 +182,33 @@ class Words:
         return np.where(self.keys[slot] == words, self.counts[slot], 0)
 
 
-def features(words: np.ndarray, kinds: np.ndarray, classes: np.ndarray, listed: np.ndarray, sizes: np.ndarray | None = None, part: slice = slice(None)) -> np.ndarray:
-    """Rows of weights for each token of ``part``, from what precedes it; rare words stand for their ending."""
-    n = len(words)
-    name = np.where(listed, words, mix(kinds.astype(np.uint64) + np.uint64(1 << 40)))
-    sizes = np.array([n]) if sizes is None else sizes  # tokens of each text
+def _back(sizes: np.ndarray, n: int):
+    """A function that gives the token k before each, in the same text."""
     place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
     def back(x: np.ndarray, k: int, fill) -> np.ndarray:
-        """The token k before, in the same text."""
         out = np.roll(x, k)
         out[place < k] = fill
         return out
 
-    w1, w2, w3 = (back(name, k, np.uint64(7)) for k in (1, 2, 3))
+    return back
+
+
+def features(words: np.ndarray, kinds: np.ndarray, classes: np.ndarray, shape: Shape, sizes: np.ndarray | None = None, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of ``part``, from what precedes it: rows of class weights, and the hashes of its tree features."""
+    sizes = np.array([len(words)]) if sizes is None else sizes  # tokens of each text
+    back = _back(sizes, len(words))
+    w1, w2, w3 = (back(words, k, np.uint64(7))[part] for k in (1, 2, 3))
     c = classes[kinds].astype(np.uint64) + np.uint64(1)
-    c1, c2, c3, c4, c5 = (back(c, k, np.uint64(0)) for k in (1, 2, 3, 4, 5))
-    w1, w2, w3, c1, c2, c3, c4, c5 = (x[part] for x in (w1, w2, w3, c1, c2, c3, c4, c5))
-    out = np.empty((len(w1), FEATURES), np.int16)
-    out[:, 0] = 0
+    c1, c2, c3, c4, c5 = (back(c, k, np.uint64(0))[part] for k in (1, 2, 3, 4, 5))
+    rows = np.empty((len(w1), FEATURES), np.uint16)
+    rows[:, 0] = 0
     pair = lambda a, b, c=np.uint64(0): (a * np.uint64(64) + b) * np.uint64(64) + c
-    for k, x in enumerate((w1, w2, w3, w1 * np.uint64(3) ^ w2, pair(c1, c2), pair(c2, c3, c1), pair(c3, c4, c5)), 1):
-        out[:, k] = (mix(x ^ mix(np.array([k], np.uint64))) % np.uint64(BUCKETS - 1)).astype(np.int16) + 1
-    return out
+    two = w1 * np.uint64(3) ^ w2
+    most = np.uint64((1 << shape.rows) - 1)
+    for k, x in enumerate((w1, w2, w3, two, pair(c1, c2), pair(c2, c3, c1), pair(c3, c4, c5)), 1):
+        rows[:, k] = (((mix(x ^ mix(np.array([k], np.uint64))) >> np.uint64(32)) * most) >> np.uint64(32)) + np.uint64(1)
+    return rows, np.stack([mix(w1), mix(two + np.uint64(1)), mix(w2 + np.uint64(2))])
 
 
 def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -182,113 +220,229 @@ def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _update(weights: np.ndarray, grown: np.ndarray, use: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-    error = -np.exp(log_classes(weights, rows))
-    error[np.arange(len(target)), target] += 1
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")  # 16-bit integers: a radix sort
-    flat = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    step = np.add.reduceat(np.take(error, order // FEATURES, axis=0), first, axis=0) / len(target)
-    row = flat[first]
-    grown[row] += (step**2).mean(1)
-    weights[row] += RATE * step / np.sqrt(grown[row])[:, None]
-    use[row] += np.diff(np.append(first, len(flat)))
+def path(words: np.ndarray, target: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes from the root of each word's class to its leaf, and which branch (0, 1) is taken at each."""
+    leaf = (words >> np.uint64(64 - shape.levels)).astype(np.int64)[:, None]
+    deep = np.arange(shape.levels)
+    nodes = (target.astype(np.int64)[:, None] << shape.levels) + ((1 << deep) | (leaf >> (shape.levels - deep)))
+    return nodes, (leaf >> (shape.levels - 1 - deep)) & 1
+
+
+def cells(hashes: np.ndarray, nodes: np.ndarray, shape: Shape) -> np.ndarray:
+    """Cells of tree weights for (feature, token, level)."""
+    at = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (((hashes[:, :, None] + at) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - shape.cells)).view(np.int64)
+
+
+def log_steps(tree: np.ndarray, base: np.ndarray, hashes: np.ndarray, nodes: np.ndarray, bits: np.ndarray, shape: Shape) -> np.ndarray:
+    """Log-probability of each word's leaf within its class."""
+    z = base[nodes] + tree[cells(hashes, nodes, shape)].sum(0)
+    return -np.logaddexp(0, np.where(bits == 1, -z, z)).sum(1)
+
+
+def masses(counts: np.ndarray, distinct: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """From tokens and words in each leaf (classes by leaves): a leaf's mass, and the log-odds of the right branch at
+    each node when nothing is learned."""
+    leaf = counts + 0.5 * (distinct + 1)
+    base = np.zeros((CLASSES, 1 << shape.levels), np.float32)
+    sums = leaf
+    for d in reversed(range(shape.levels)):
+        both = sums.reshape(CLASSES, 1 << d, 2)
+        base[:, 1 << d : 2 << d] = np.log(both[:, :, 1] / both[:, :, 0])
+        sums = both.sum(2)
+    return leaf.ravel(), base.ravel()
+
+
+class _Learner:
+    """AdaGrad on copies of the shared weights."""
+
+    def __init__(self, start: tuple, base: np.ndarray, shape: Shape):
+        self.start, self.base, self.shape = start, base, shape
+        self.weights, self.tree = (x.copy() for x in start)
+        self.grown, self.use = np.full(len(self.weights), 1e-6, np.float32), np.zeros(len(self.weights), np.float32)
+        self.bent = np.ones(len(self.tree), np.float32)
+
+    def update(self, words: np.ndarray, rows: np.ndarray, hashes: np.ndarray, target: np.ndarray) -> None:
+        error = -np.exp(log_classes(self.weights, rows))
+        error[np.arange(len(target)), target] += 1
+        flat = rows.ravel()
+        order = np.argsort(flat, kind="stable")  # 16-bit integers: a radix sort
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        step = np.add.reduceat(np.take(error, order // FEATURES, axis=0), first, axis=0) / len(target)
+        row = flat[first]
+        self.grown[row] += (step**2).mean(1)
+        self.weights[row] += RATE * step / np.sqrt(self.grown[row])[:, None]
+        self.use[row] += np.diff(np.append(first, len(flat)))
+
+        nodes, bits = path(words, target, self.shape)
+        at = cells(hashes, nodes, self.shape)
+        z = self.base[nodes] + self.tree[at].sum(0)
+        miss = (bits - 1 / (1 + np.exp(-z))).astype(np.float32)
+        at = at.ravel()
+        miss = np.concatenate([miss.ravel()] * TREE_FEATURES)
+        np.add.at(self.bent, at, miss**2)
+        np.add.at(self.tree, at, TREE_RATE * miss / np.sqrt(self.bent[at]))
+
+    def changes(self):
+        """Packed chunks: rows of class weights that were used, and all cells of tree weights."""
+        each = len(self.weights) // CHUNKS
+        change = self.weights - self.start[0]
+        for c in range(CHUNKS):
+            at = np.flatnonzero(self.use[c * each : (c + 1) * each])
+            if len(at):
+                yield c, at.astype(np.int16), self.use[at + c * each], change[at + c * each]
+        each = len(self.tree) // CHUNKS
+        change, bent = self.tree - self.start[1], self.bent - 1
+        for c in range(CHUNKS):
+            part = slice(c * each, (c + 1) * each)
+            if bent[part].any():
+                yield CHUNKS + c, np.empty(0, np.int16), np.minimum(bent[part], 60_000).astype(np.float16), change[part]
 
 
-def _training(docs: DataFrame, text_col: str, model, weights, turn: int) -> np.ndarray:
+def _training(docs: DataFrame, text_col: str, shared, start: tuple, turn: int, shape: Shape) -> tuple:
     """One round of updates; the averaged weights."""
     spark = docs.sparkSession
-    start = spark.sparkContext.broadcast(weights)
+    begin = spark.sparkContext.broadcast(start)
 
     def run(batches):
-        own, classes = start.value.copy(), model.value[1]
-        words_ = model.value[0]
-        grown, use = np.full(BUCKETS, 1e-6, np.float32), np.zeros(BUCKETS, np.float32)
-        rows, target, size = [], [], 0
+        classes, base = shared.value
+        own = _Learner(begin.value, base, shape)
+        held: list = []
+        size = 0
+
+        def learn():
+            words, rows, hashes, target = (np.concatenate(x, axis=axis) for x, axis in zip(zip(*held, strict=True), (0, 0, 1, 0)))
+            for lo in range(0, len(target), BATCH):
+                part = slice(lo, lo + BATCH)
+                own.update(words[part], rows[part], hashes[:, part], target[part])
+
         for batch in batches:
             for texts in groups(batch.column(0).to_pylist()):
                 words, kinds, sizes = many(texts)
                 part = slice(turn, None, ROUNDS)
                 if len(words) > turn:
-                    rows.append(features(words, kinds, classes, words_.find(words) > 0, sizes, part))
-                    target.append(classes[kinds][part])
-                    size += len(target[-1])
+                    held.append((words[part], *features(words, kinds, classes, shape, sizes, part), classes[kinds][part]))
+                    size += len(held[-1][0])
                 if size >= BATCH:
-                    all_rows, all_target = np.concatenate(rows), np.concatenate(target)
-                    for lo in range(0, len(all_target), BATCH):
-                        _update(own, grown, use, all_rows[lo : lo + BATCH], all_target[lo : lo + BATCH])
-                    rows, target, size = [], [], 0
+                    learn()
+                    held, size = [], 0
         if size:
-            _update(own, grown, use, np.concatenate(rows), np.concatenate(target))
-        change = (own - start.value).astype(np.float16)
-        each = BUCKETS // CHUNKS
-        for c in range(CHUNKS):
-            at = np.flatnonzero(use[c * each : (c + 1) * each])
-            if len(at):
-                rows_ = at + c * each
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at.astype(np.int16).tobytes()], pa.binary()), pa.array([use[rows_].tobytes()], pa.binary()), pa.array([change[rows_].tobytes()], pa.binary())], names=["chunk", "at", "use", "change"])
+            learn()
+        for c, at, use, change in own.changes():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (at, use, change.astype(np.float16))]], names=["chunk", "at", "use", "change"])
 
     def total(batches):
-        each, sums = BUCKETS // CHUNKS, {}
+        sums: dict = {}
         for batch in batches:
             for c, at, use, change in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                u, d = sums.setdefault(c, (np.zeros(each), np.zeros((each, CLASSES))))
-                at, use = np.frombuffer(at, np.int16), np.frombuffer(use, np.float32).astype(np.float64)
-                u[at] += use
-                d[at] += use[:, None] * np.frombuffer(change, np.float16).reshape(-1, CLASSES).astype(np.float64)
+                change = np.frombuffer(change, np.float16).astype(np.float64)
+                if c < CHUNKS:
+                    each = (1 << shape.rows) // CHUNKS
+                    u, d = sums.setdefault(c, (np.zeros(each), np.zeros((each, CLASSES))))
+                    at, use = np.frombuffer(at, np.int16), np.frombuffer(use, np.float32).astype(np.float64)
+                    u[at] += use
+                    d[at] += use[:, None] * change.reshape(-1, CLASSES)
+                else:
+                    u, d = sums.setdefault(c, (np.zeros(len(change)), np.zeros(len(change))))
+                    use = np.frombuffer(use, np.float16).astype(np.float64)
+                    u += use
+                    d += use * change
         for c, (u, d) in sums.items():
-            mean = (d / np.maximum(u, 1e-9)[:, None]).astype(np.float32)
+            mean = (d / np.maximum(u.reshape(-1, *[1] * (d.ndim - 1)), 1e-9)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["chunk", "change"])
 
     sent = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "chunk int, at binary, use binary, change binary")
-    found = sent.repartition(CHUNKS, "chunk").mapInArrow(total, "chunk int, change binary").collect()  # CHUNKS rows, as large as the weights
-    out, each = weights.copy(), BUCKETS // CHUNKS
+    found = sent.repartitionById(2 * CHUNKS, F.col("chunk")).mapInArrow(total, "chunk int, change binary").collect()  # 2 * CHUNKS rows, as large as the weights
+    weights, tree = (x.copy() for x in start)
     for r in found:
-        out[r.chunk * each : (r.chunk + 1) * each] += np.frombuffer(bytes(r.change), np.float32).reshape(each, CLASSES)
-    return out
-
-
-def score(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on the documents whose crc32(id as text) mod 5 isn't ``held_out`` and score all of them: id, held_out,
-    n_tokens, n_known, train_tokens, base_score and score."""
+        change = np.frombuffer(bytes(r.change), np.float32)
+        if r.chunk < CHUNKS:
+            each = len(weights) // CHUNKS
+            weights[r.chunk * each : (r.chunk + 1) * each] += change.reshape(each, CLASSES)
+        else:
+            each = len(tree) // CHUNKS
+            tree[(r.chunk - CHUNKS) * each : (r.chunk - CHUNKS + 1) * each] += change
+    return weights, tree
+
+
+class Model(NamedTuple):
+    """All that scoring needs but the counts of rare words, which stay in a table."""
+
+    known: Words
+    classes: np.ndarray
+    mass: np.ndarray
+    base: np.ndarray
+    weights: np.ndarray
+    tree: np.ndarray
+    shape: Shape
+    n_tokens: int
+    n_words: int
+
+    def log10(self, words: np.ndarray, kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Per token: the log10 probability of its leaf over the leaf's mass, to which log10(count + 0.5) is to be added."""
+        target, out = self.classes[kinds], np.empty(len(words))
+        rows, hashes = features(words, kinds, self.classes, self.shape, sizes)
+        for lo in range(0, len(words), BATCH):
+            part = slice(lo, lo + BATCH)
+            t, w = target[part], words[part]
+            nodes, bits = path(w, t, self.shape)
+            out[part] = log_classes(self.weights, rows[part])[np.arange(len(t)), t] + log_steps(self.tree, self.base, hashes[:, part], nodes, bits, self.shape)
+            out[part] -= np.log(self.mass[(t << self.shape.levels) + (w >> np.uint64(64 - self.shape.levels)).astype(np.int64)])
+        return out / np.log(10)
+
+
+def _frequent(words: DataFrame) -> Words:
+    """The words above a count that at most :data:`KNOWN` have, by way of a histogram of the counts."""
+    bins = words.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("b")).count().orderBy(F.col("b").desc()).collect()  # at most 8 * 64 rows
+    cut, n = 1 << 10, 0
+    for r in bins:
+        if n + r["count"] > KNOWN:
+            break
+        cut, n = r.b, n + r["count"]
+    top = words.where(F.floor(F.log2("n") * 8) >= cut).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])  # at most KNOWN rows
+    return Words(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
+
+
+def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model of these documents, and the table of all their words' counts (word, n)."""
     spark = docs.sparkSession
-    out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == held_out, F.lit(False))
-    train = docs.where(~out)
-    counted = train.select(F.col(text_col).cast("binary")).mapInArrow(_counter, "word long, kind int, n long")
+    counted = docs.select(F.col(text_col).cast("binary")).mapInArrow(_counter, "word long, kind int, n long")
     counts = keep(counted.groupBy("word", "kind").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("kind >= 0")
-    cells = np.zeros(TYPES * COARSE, np.int64)
+    table = np.zeros(TYPES * COARSE, np.int64)
     for r in counts.where("kind < 0").toPandas().itertuples():  # at most TYPES * COARSE rows
-        cells[r.word] = r.n
-    classes = cluster(cells)
-    per_type = words.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # at most TYPES rows
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in per_type:
-        n_class[classes[r.kind]] += r.n
-        v_class[classes[r.kind]] += r.v
-    n_all, v_all = int(n_class.sum()), int(v_class.sum())
-    top = words.orderBy(F.col("n").desc(), "word").limit(KNOWN).select("word", "n").toPandas()
-    known = Words(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
-    model = spark.sparkContext.broadcast((known, classes, np.log10(n_class + 0.5 * (v_class + 1))))
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
+        table[r.word] = r.n
+    classes = cluster(table)
+    whole = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n_all, v_all = whole.n or 0, whole.v
+    shape = shape_for(v_all, n_all)
+    of_kind = F.element_at(F.array(*[F.lit(int(c)) for c in classes]), F.col("kind") + 1)
+    leaf = F.shiftrightunsigned("word", 64 - shape.levels).cast("int")
+    n_leaf, v_leaf = np.zeros((CLASSES, 1 << shape.levels)), np.zeros((CLASSES, 1 << shape.levels))
+    for r in words.groupBy(of_kind.alias("c"), leaf.alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas().itertuples():  # at most CLASSES * 2 ** levels rows
+        n_leaf[r.c, r.leaf], v_leaf[r.c, r.leaf] = r.n, r.v
+    mass, base = masses(n_leaf, v_leaf, shape)
+    shared = spark.sparkContext.broadcast((classes, base))
+    learned = np.zeros((1 << shape.rows, CLASSES), np.float32), np.zeros(1 << shape.cells, np.float32)
     for turn in range(ROUNDS):
-        weights = _training(train, text_col, model, weights, turn)
-    shared = spark.sparkContext.broadcast(weights)
+        learned = _training(docs, text_col, shared, learned, turn, shape)
+    return Model(_frequent(words), classes, mass, base, *learned, shape, n_all, v_all), words.select("word", "n")
+
+
+def score_with(docs: DataFrame, model: Model, words: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Score all documents: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == held_out, F.lit(False))
 
     def run(batches):
-        known, classes, log_class = model.value
+        own = Model(*shared.value)
         for batch in batches:
             n, n_known, listed_log, model_log, rare = [], [], [], [], []
             for texts in groups(batch.column(3).to_pylist()):
                 words, kinds, sizes = many(texts)
-                found = known.find(words)
-                rows = features(words, kinds, classes, found > 0, sizes)
-                target, gained = classes[kinds], np.empty(len(words))
-                for lo in range(0, len(words), BATCH):
-                    t = target[lo : lo + BATCH]
-                    gained[lo : lo + BATCH] = log_classes(shared.value, rows[lo : lo + BATCH])[np.arange(len(t)), t]
-                gained = gained / np.log(10) - log_class[target]
+                found = own.known.find(words)
+                gained = own.log10(words, kinds, sizes)
                 start = np.cumsum(sizes) - sizes
                 n += sizes.tolist()
                 n_known += np.add.reduceat((found > 0).astype(np.int64), start).tolist()
@@ -299,13 +453,20 @@ def score(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["row", "id", "held_out", "n_tokens", "listed", "listed_log", "model_log", "rare"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).cast("binary"))
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = keep(rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, listed long, listed_log double, model_log double, rare array<long>"), "scored")
-    looked = scored.select("row", F.explode("rare").alias("word")).join(words.select("word", "n"), "word", "left")
+    made = [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("listed", T.LongType()), ("listed_log", T.DoubleType()), ("model_log", T.DoubleType()), ("rare", T.ArrayType(T.LongType())))]
+    scored = keep(rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], *made])), "scored")
+    looked = scored.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     rest = looked.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.count("n").alias("rare_known"))
     joined = scored.drop("rare").join(rest, "row", "left")
     log = F.col("listed_log") + F.coalesce("rare_log", F.lit(0.0))
     return joined.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("listed") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (log - F.col("n_tokens") * float(np.log10(n_all + 0.5 * (v_all + 1)))).alias("base_score"), (log + F.col("model_log")).alias("score"),
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("listed") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        (log - F.col("n_tokens") * float(np.log10(model.n_tokens + 0.5 * (model.n_words + 1)))).alias("base_score"), (log + F.col("model_log")).alias("score"),
     )
+
+
+def score(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Train on the documents whose crc32(id as text) mod 5 isn't ``held_out`` and score all of them."""
+    out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == held_out, F.lit(False))
+    model, words = train(docs.where(~out), text_col)
+    return score_with(docs, model, words, held_out, id_col, text_col)

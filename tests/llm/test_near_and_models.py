@@ -147,30 +147,113 @@ def test_language_model(docs):
     assert maxent_lm.score(docs((1, "x")).limit(0)).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
+FULL = 1 << 64
+
+
+def scramble(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % FULL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % FULL
+    return x ^ x >> 31
+
+
+def log10_by_hand(m, text):
+    """The log10 probability of a text, token by token in plain Python, from the model's tables and the counts of its words."""
+    w, kinds = maxent_lm.tokens(text)
+    w, kinds, c = w.tolist(), kinds.tolist(), [int(x) + 1 for x in m.classes[kinds]]
+    at = lambda x, i, k, none: x[i - k] if i >= k else none
+    total = 0.0
+    for i, word in enumerate(w):
+        w1, w2, w3 = (at(w, i, k, 7) for k in (1, 2, 3))
+        c1, c2, c3, c4, c5 = (at(c, i, k, 0) for k in (1, 2, 3, 4, 5))
+        two = w1 * 3 % FULL ^ w2
+        rows = [0]
+        for k, x in enumerate((w1, w2, w3, two, (c1 * 64 + c2) * 64, (c2 * 64 + c3) * 64 + c1, (c3 * 64 + c4) * 64 + c5), 1):
+            rows.append((scramble(x ^ scramble(k)) >> 32) * ((1 << m.shape.rows) - 1) // (1 << 32) + 1)
+        z = [sum(float(m.weights[r, j]) for r in rows) for j in range(maxent_lm.CLASSES)]
+        log_p = z[c[i] - 1] - np.logaddexp.reduce(z)
+        leaf, node, first = word >> 64 - m.shape.levels, 1, (c[i] - 1) << m.shape.levels
+        for d in range(m.shape.levels):
+            seen = float(m.base[first + node])
+            for h in (w1, two + 1, w2 + 2):
+                key = (scramble(h % FULL) + (first + node) * 0x9E3779B97F4A7C15) * 0xD1342543DE82EF95 % FULL
+                seen += float(m.tree[key >> 64 - m.shape.cells])
+            bit = leaf >> m.shape.levels - 1 - d & 1
+            log_p -= np.logaddexp(0, -seen if bit else seen)
+            node = 2 * node + bit
+        total += (log_p - np.log(m.mass[first + leaf])) / np.log(10)
+    return total
+
+
+def test_scores_of_the_language_model_by_hand(docs):
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(300)]
+    texts = [(i, " ".join(pool[min(299, int(rng.expovariate(0.02)))] for _ in range(rng.randint(1, 60)))) for i in range(150)] + [(200, None), (201, "never seen w1"), (202, "x" * 300_000)]
+    df = docs(*texts)
+    model, table = maxent_lm.train(df.where("doc_id < 100"))
+    counts = {r.word: r.n for r in table.collect()}
+    assert sum(counts.values()) == model.n_tokens and model.tree.any() and model.weights.any()
+    got = {r.doc_id: r.score for r in maxent_lm.score_with(df, model, table).collect()}
+    for i, t in texts:
+        own = maxent_lm.tokens((t or "").encode())[0].view(np.int64).tolist()
+        want = log10_by_hand(model, (t or "").encode()) + sum(log10(counts.get(x, 0) + 0.5) for x in own)
+        assert abs(got[i] - want) < 1e-3 * max(1, len(own))
+
+
+def test_probabilities_sum_to_one():
+    """Over all classes and leaves, after some history; a leaf's words and its half count make up its mass."""
     rng = np.random.default_rng(1)
-    weights = rng.normal(0, 1, (maxent_lm.BUCKETS, maxent_lm.CLASSES)).astype(np.float32)
+    shape = maxent_lm.Shape(13, 4, 14)
+    n = rng.integers(0, 50, (maxent_lm.CLASSES, 16)).astype(float)
+    mass, base = maxent_lm.masses(n, np.minimum(n, 3), shape)
+    assert np.allclose(mass, (n + 0.5 * (np.minimum(n, 3) + 1)).ravel())
+    weights, tree = rng.normal(0, 1, (1 << 13, maxent_lm.CLASSES)).astype(np.float32), rng.normal(0, 1, 1 << 14).astype(np.float32)
     w, k = maxent_lm.tokens(b"some words, and more words of a text")
-    rows = maxent_lm.features(w, k, np.arange(maxent_lm.TYPES) % maxent_lm.CLASSES, np.ones(len(w), bool))
-    assert np.allclose(np.exp(maxent_lm.log_classes(weights, rows)).sum(1), 1, atol=1e-4)
-    short = maxent_lm.features(w[:3], k[:3], np.arange(maxent_lm.TYPES) % maxent_lm.CLASSES, np.ones(3, bool))
-    assert (short == rows[:3]).all()  # features look back only
+    rows, hashes = maxent_lm.features(w, k, np.arange(maxent_lm.TYPES) % maxent_lm.CLASSES, shape)
+    classes = np.exp(maxent_lm.log_classes(weights, rows))
+    assert np.allclose(classes.sum(1), 1, atol=1e-4)
+    leaves = np.arange(16, dtype=np.uint64) << np.uint64(60)
+    for c in (0, 5):
+        nodes, bits = maxent_lm.path(leaves, np.full(16, c), shape)
+        one = lambda t, c=c, nodes=nodes, bits=bits: np.exp(maxent_lm.log_steps(t, base, np.repeat(hashes[:, 4:5], 16, 1), nodes, bits, shape))
+        assert abs(one(tree).sum() - 1) < 1e-4 and np.abs(one(tree) - one(tree * 0)).max() > 0.01
+        assert np.allclose(one(tree * 0), mass.reshape(-1, 16)[c] / mass.reshape(-1, 16)[c].sum(), atol=1e-4)
+    short, less = maxent_lm.features(w[:3], k[:3], np.arange(maxent_lm.TYPES) % maxent_lm.CLASSES, shape)
+    assert (short == rows[:3]).all() and (less == hashes[:, :3]).all()  # features look back only
 
 
 def test_features_reach_back():
-    """The word three back has a feature of its own, the types one to five back have theirs."""
-    kinds, classes = np.arange(6), np.arange(maxent_lm.TYPES) % maxent_lm.CLASSES
+    """The word three back has a feature of its own, the types one to five back have theirs; two words reach the trees."""
+    kinds, classes, shape = np.arange(6), np.arange(maxent_lm.TYPES) % maxent_lm.CLASSES, maxent_lm.MOST
     w = np.arange(100, 106).astype(np.uint64)
-    row = lambda w, k: maxent_lm.features(w, k, classes, np.ones(6, bool))[5]
+    row = lambda w, k: [x[..., 5] if x.dtype == np.uint64 else x[5] for x in maxent_lm.features(w, k, classes, shape)]
     assert maxent_lm.FEATURES == 8 and maxent_lm.BATCH == 2048
-    for back, changed in ((3, {3}), (2, {2, 4}), (1, {1, 4})):
+    for back, changed, below in ((3, {3}, set()), (2, {2, 4}, {1, 2}), (1, {1, 4}, {0, 1})):
         other = w.copy()
         other[5 - back] += np.uint64(1000)
-        assert set(np.flatnonzero(row(w, kinds) != row(other, kinds))) == changed
+        assert [set(np.flatnonzero(a != b)) for a, b in zip(row(w, kinds), row(other, kinds))] == [changed, below]
     for back, changed in ((5, {7}), (4, {7}), (3, {6, 7}), (2, {5, 6}), (1, {5, 6})):
         other = kinds.copy()
         other[5 - back] += 10
-        assert set(np.flatnonzero(row(w, kinds) != row(w, other))) == changed
+        assert set(np.flatnonzero(row(w, kinds)[0] != row(w, other)[0])) == changed
+
+
+def test_word_pairs_decide_within_a_class(docs):
+    """Two words of one class and equal counts are told apart by the word before them."""
+    rng = random.Random(7)
+    texts = []
+    for i in range(600):
+        w = []
+        for _ in range(40):
+            w += rng.choice((["red", "xaing"], ["blue", "xbing"]))
+        texts.append((i, " ".join(w)))
+    model, _ = maxent_lm.train(docs(*texts))
+    right, wrong = (model.log10(*maxent_lm.many([t])) for t in (b"red xaing blue xbing", b"red xbing blue xaing"))
+    assert right.sum() > wrong.sum() + 1 and model.classes[maxent_lm.tokens(b"xaing")[1][0]] == model.classes[maxent_lm.tokens(b"xbing")[1][0]]
+
+
+def test_what_is_learned_grows():
+    a, b, c = (maxent_lm.shape_for(v, n) for v, n in ((1000, 20_000), (30_000, 900_000), (10_000_000, 1 << 40)))
+    assert all(x <= y <= z for x, y, z in zip(a, b, c)) and a < b < c == maxent_lm.MOST
 
 
 @pytest.fixture(scope="module")
@@ -210,12 +293,7 @@ def score_by_hand(model, text):
     w = (text or b"").lower().split()
     if not w:
         return 0.0
-    full = 1 << 64
-
-    def scramble(x):
-        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % full
-        x = (x ^ x >> 27) * 0x94D049BB133111EB % full
-        return x ^ x >> 31
+    full = FULL
 
     def value(word):
         b = b"<" + (word.strip(b".,;:!?\"'()[]") or word) + b">"

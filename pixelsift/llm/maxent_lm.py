@@ -17,7 +17,7 @@ Steps, each over all training documents and all their tokens:
 1. Counts of words, and of word-ending types by preceding type: counted in numpy per task, then
    aggregated by Spark. The endings are clustered into classes by what precedes them (a table of fixed size).
 2. Distributed gradient updates: in each of :data:`ROUNDS` rounds every task starts from the shared
-   weights, makes sparse AdaGrad updates on its share of the tokens (each token is used in one round), and
+   weights, makes sparse AdaGrad updates on its share of the texts (each is used, whole, in one round), and
    sends back its changes, which are averaged by use (class weights) or by their summed squared gradients (tree
    weights), in packed chunks that are summed in a stream.
 3. Scoring in sparse numpy batches. The counts of the most frequent words come from a table of bounded size
@@ -194,13 +194,13 @@ def _back(sizes: np.ndarray, n: int):
     return back
 
 
-def features(words: np.ndarray, kinds: np.ndarray, classes: np.ndarray, shape: Shape, sizes: np.ndarray | None = None, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
-    """For each token of ``part``, from what precedes it: rows of class weights, and the hashes of its tree features."""
+def features(words: np.ndarray, kinds: np.ndarray, classes: np.ndarray, shape: Shape, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, from what precedes it: rows of class weights, and the hashes of its tree features."""
     sizes = np.array([len(words)]) if sizes is None else sizes  # tokens of each text
     back = _back(sizes, len(words))
-    w1, w2, w3 = (back(words, k, np.uint64(7))[part] for k in (1, 2, 3))
+    w1, w2, w3 = (back(words, k, np.uint64(7)) for k in (1, 2, 3))
     c = classes[kinds].astype(np.uint64) + np.uint64(1)
-    c1, c2, c3, c4, c5 = (back(c, k, np.uint64(0))[part] for k in (1, 2, 3, 4, 5))
+    c1, c2, c3, c4, c5 = (back(c, k, np.uint64(0)) for k in (1, 2, 3, 4, 5))
     rows = np.empty((len(w1), FEATURES), np.uint16)
     rows[:, 0] = 0
     pair = lambda a, b, c=np.uint64(0): (a * np.uint64(64) + b) * np.uint64(64) + c
@@ -234,10 +234,21 @@ def cells(hashes: np.ndarray, nodes: np.ndarray, shape: Shape) -> np.ndarray:
     return (((hashes[:, :, None] + at) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - shape.cells)).view(np.int64)
 
 
+def _right(tree: np.ndarray, base: np.ndarray, at: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Probability of the right branch at each node; never quite 0 or 1, so that every word keeps some."""
+    z = tree[at].sum(0)
+    z += base[nodes]
+    np.clip(z, -15, 15, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
 def log_steps(tree: np.ndarray, base: np.ndarray, hashes: np.ndarray, nodes: np.ndarray, bits: np.ndarray, shape: Shape) -> np.ndarray:
     """Log-probability of each word's leaf within its class."""
-    z = base[nodes] + tree[cells(hashes, nodes, shape)].sum(0)
-    return -np.logaddexp(0, np.where(bits == 1, -z, z)).sum(1)
+    right = _right(tree, base, cells(hashes, nodes, shape), nodes)
+    return np.log(np.where(bits == 1, right, 1 - right).astype(np.float64).clip(1e-30)).sum(1)
 
 
 def masses(counts: np.ndarray, distinct: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -263,26 +274,39 @@ class _Learner:
         self.bent = np.ones(len(self.tree), np.float32)
 
     def update(self, words: np.ndarray, rows: np.ndarray, hashes: np.ndarray, target: np.ndarray) -> None:
-        error = -np.exp(log_classes(self.weights, rows))
+        error = log_classes(self.weights, rows)
+        np.exp(error, out=error)
+        np.negative(error, out=error)
         error[np.arange(len(target)), target] += 1
+        error /= np.float32(len(target))
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")  # 16-bit integers: a radix sort
         flat = flat[order]
+        order //= FEATURES
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        step = np.add.reduceat(np.take(error, order // FEATURES, axis=0), first, axis=0) / len(target)
-        row = flat[first]
-        self.grown[row] += (step**2).mean(1)
-        self.weights[row] += RATE * step / np.sqrt(self.grown[row])[:, None]
-        self.use[row] += np.diff(np.append(first, len(flat)))
+        n = np.diff(np.append(first, len(flat)))
+        one = n == 1  # most rows are met once; only the others are summed
+        self._step(flat[first[one]], np.take(error, order[first[one]], axis=0), 1)
+        more = n[~one]
+        if len(more):
+            summed = np.add.reduceat(np.take(error, order[np.repeat(~one, n)], axis=0), np.cumsum(more) - more, axis=0)
+            self._step(flat[first[~one]], summed, more)
 
         nodes, bits = path(words, target, self.shape)
         at = cells(hashes, nodes, self.shape)
-        z = self.base[nodes] + self.tree[at].sum(0)
-        miss = (bits - 1 / (1 + np.exp(-z))).astype(np.float32)
-        at = at.ravel()
-        miss = np.concatenate([miss.ravel()] * TREE_FEATURES)
-        np.add.at(self.bent, at, miss**2)
-        np.add.at(self.tree, at, TREE_RATE * miss / np.sqrt(self.bent[at]))
+        miss = (bits - _right(self.tree, self.base, at, nodes)).astype(np.float32).ravel()
+        square = miss * miss
+        miss *= np.float32(TREE_RATE)
+        for own in at.reshape(TREE_FEATURES, -1):
+            np.add.at(self.bent, own, square)
+            np.add.at(self.tree, own, miss / np.sqrt(self.bent[own]))
+
+    def _step(self, row: np.ndarray, step: np.ndarray, n) -> None:
+        grown = self.grown[row] + np.einsum("ij,ij->i", step, step) / np.float32(CLASSES)
+        self.grown[row] = grown
+        step *= (np.float32(RATE) / np.sqrt(grown))[:, None]
+        self.weights[row] += step
+        self.use[row] += n
 
     def changes(self):
         """Packed chunks: rows of class weights that were used, and all cells of tree weights."""
@@ -309,7 +333,7 @@ def _training(docs: DataFrame, text_col: str, shared, start: tuple, turn: int, s
         classes, base = shared.value
         own = _Learner(begin.value, base, shape)
         held: list = []
-        size = 0
+        size = seen = 0
 
         def learn():
             words, rows, hashes, target = (np.concatenate(x, axis=axis) for x, axis in zip(zip(*held, strict=True), (0, 0, 1, 0)))
@@ -319,11 +343,12 @@ def _training(docs: DataFrame, text_col: str, shared, start: tuple, turn: int, s
 
         for batch in batches:
             for texts in groups(batch.column(0).to_pylist()):
-                words, kinds, sizes = many(texts)
-                part = slice(turn, None, ROUNDS)
-                if len(words) > turn:
-                    held.append((words[part], *features(words, kinds, classes, shape, sizes, part), classes[kinds][part]))
-                    size += len(held[-1][0])
+                mine = texts[(turn - seen) % ROUNDS :: ROUNDS]
+                seen += len(texts)
+                if mine:
+                    words, kinds, sizes = many(mine)
+                    held.append((words, *features(words, kinds, classes, shape, sizes), classes[kinds]))
+                    size += len(words)
                 if size >= BATCH:
                     learn()
                     held, size = [], 0

@@ -8,23 +8,27 @@ is exact (up to 64-bit hash collisions of shingles); none caps a list or drops a
    among the first n - ceil(3n/4) + L (and m - ...). Each task sends those prefixes, in order of hashes and
    by hash range, as packed arrays; what repeats within a task is counted there and sent once. A class stays if
    enough of its prefix occurs in other classes. Nine in ten drop out here; only the rest keep their sets.
-2. *Local joins.* Sets meet in buckets of their smallest hashes. Blocks of a bucket are stored in prefix
-   trees (:class:`~pixelsift.llm.trie.PrefixTree`): elements in one order, the most frequent first, so that
-   partial overlaps are shared; subtrees are pruned by remaining-length bounds. A block sends a spanning forest of its
-   links, not its pairs, and components are formed. This finds most links cheaply; it need not find all.
-3. *The rest.* In a global order, rare elements first, linked sets share an element of their prefixes.
-   Lists of an element whose sets are all in one component are finished. In short lists the remaining pairs of
-   different components are checked one by one. Long lists that share members are taken together: the
-   members outside their largest component are the queries, in blocks, against blocks of all members,
-   again stored in prefix trees, and again each block sends a forest.
-4. The components of all links, with the smallest id of each, go back to the documents.
+2. *The order.* One global order of all elements holds for every trie and prefix: those that few sets hold first, by
+   hash, then the :data:`RANKED` most frequent ones, by frequency. Tries are written from its end, so that
+   partial overlaps are shared; prefixes are taken from its beginning.
+3. *Local joins.* Sets meet in buckets of their smallest hashes. Blocks of a bucket are stored in prefix
+   trees (:class:`~pixelsift.llm.trie.PrefixTree`); subtrees are pruned by remaining-length bounds. A block sends a
+   spanning forest of its links, not its pairs, and components are formed. This finds most links cheaply; it need not
+   find all.
+4. *The rest.* Linked sets share an element of their prefixes. Lists of an element whose sets are all in one
+   component are finished. All others are checked in tries: sets of different components that meet in a short list, by a
+   trie of each set's possible partners; long lists that share members are taken together: the members outside their
+   largest component are the queries, in blocks, against blocks of those members whose size allows a link. Each
+   trie sends a forest again.
+5. The components of all links, with the smallest id of each, go back to the documents.
 
 Groups of near copies of any size thus cost a few rows per member; the only pairs ever listed are those
 of different components in lists of at most :data:`SHORT` members.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of
-fewer than five words is one shingle; null ids lose against others when a component is named; rows with
-equal texts are always linked (also rows with equal ids); other columns are ignored.
+fewer than five words is one shingle; texts of any length are taken whole, one at a time; ids may be of any type that
+has an order; null ids lose against others when a component is named; rows with equal texts are always linked (also
+rows with equal ids); an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pixelsift.llm._store import keep, release
 from pixelsift.llm._text import mix, normalise, shingles
@@ -45,12 +50,16 @@ from pixelsift.llm.trie import PrefixTree, needed
 WORDS = 5
 #: Entries that a task gathers before it sends them.
 FLUSH = 2_000_000
-#: Buckets of step 2 that each set goes to, and sets in a block.
+#: Bytes of text for each hash range of step 1, which one worker holds.
+RANGE_BYTES = 32 << 20
+#: Buckets of step 3 that each set goes to, and sets in a block.
 KEYS, BLOCK = 3, 512
-#: Longest list whose pairs are checked one by one; queries and members in a block of the longer ones.
+#: Longest list whose pairs are listed; queries and members in a trie of the longer ones.
 SHORT, QUERIES, MEMBERS = 64, 256, 1024
-#: Elements that more than a few sets hold, whose order is by frequency; all others come before them.
-RANKED, FREQUENT = 1 << 17, 4
+#: Elements whose place in the order is by their frequency, at most; all others come before them.
+RANKED = 1 << 17
+#: Linked sets differ in size by less than this factor, so they are in the same class of sizes or in adjoining ones.
+SIZE_STEP = 1.4
 
 
 def _extra(n):
@@ -98,7 +107,7 @@ def _emitter(parts: int, id_type: pa.DataType):
         )
 
     def run(batches):
-        prefixes, classes, seen, held = [], [], set(), 0
+        prefixes, classes, seen, held, sent = [], [], set(), 0, 0
         for batch in batches:
             hs, cs, ns = [], [], []
             for text in batch.column(2):
@@ -117,7 +126,10 @@ def _emitter(parts: int, id_type: pa.DataType):
                 if held >= FLUSH:
                     yield from send(prefixes, classes)
                     prefixes, classes, seen, held = [], [], set(), 0
-            yield rows(0, len(hs), part=pa.array([c % parts for c in cs], pa.int32()), id=batch.column(0), key=batch.column(1), h=pa.array(hs, pa.binary()), c=pa.array(cs, pa.int64()), n=pa.array(ns, pa.int64()))
+            # rows about documents are dealt round: copies of one text needn't meet here
+            where = (np.arange(sent, sent + len(hs)) + (cs[0] if cs else 0)) % parts
+            sent += len(hs)
+            yield rows(0, len(hs), part=pa.array(where.astype(np.int32)), id=batch.column(0), key=batch.column(1), h=pa.array(hs, pa.binary()), c=pa.array(cs, pa.int64()), n=pa.array(ns, pa.int64()))
         if prefixes:
             yield from send(prefixes, classes)
 
@@ -209,10 +221,43 @@ def _edge_batch(edges: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
 
 
-def _local(block: dict) -> list:
+class Order:
+    """The global order: elements that aren't ``common`` by hash, then those by their place (from 1, the most frequent last)."""
+
+    def __init__(self, common: np.ndarray, place: np.ndarray):
+        self.common, self.place = common, place
+
+    def places(self, elements: np.ndarray) -> np.ndarray:
+        """The place of each element, 0 for those that go by their hash."""
+        if not len(self.common):
+            return np.zeros(len(elements), np.int64)
+        at = np.minimum(np.searchsorted(self.common, elements), len(self.common) - 1)
+        return np.where(self.common[at] == elements, self.place[at], 0)
+
+    def sort(self, s: np.ndarray) -> np.ndarray:
+        """A set, sorted by hash, in the global order."""
+        return s[np.argsort(self.places(s), kind="stable")]
+
+
+def global_order(sets: DataFrame) -> Order:
+    """Elements above a frequency that at most :data:`RANKED` have, by way of a histogram of the frequencies."""
+    counts = keep(sets.select(F.explode("items").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "frequent")
+    bins = counts.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("b")).count().orderBy(F.col("b").desc()).collect()  # at most 8 * 64 rows
+    cut, n = 1 << 10, 0
+    for r in bins:
+        if n + r["count"] > RANKED:
+            break
+        cut, n = r.b, n + r["count"]
+    top = counts.where(F.floor(F.log2("n") * 8) >= cut).toPandas().sort_values(["n", "e"])  # at most RANKED rows
+    hashes = top["e"].to_numpy(np.int64).view(np.uint64)
+    by_hash = np.argsort(hashes)
+    return Order(hashes[by_hash], by_hash + 1)
+
+
+def _local(block: dict, order: Order) -> list:
     ids, sets = list(block), [s for _, s in block.values()]
     sizes = np.array([n for n, _ in block.values()], np.int64)
-    tree, forest, met = PrefixTree(sets, sizes), _Forest(), set()
+    tree, forest, met = PrefixTree(sets, sizes, order.places), _Forest(), set()
     # the most typical sets first: they find most of the others
     typical = [tree.frequency[np.searchsorted(tree.universe, s)].mean() for s in sets]
     for i in np.argsort(typical)[::-1]:
@@ -223,7 +268,7 @@ def _local(block: dict) -> list:
     return forest.edges
 
 
-def _join_blocks(batches):
+def _join_blocks(batches, order: Order):
     """Links in blocks of consecutive rows with one key."""
     key, block = None, {}
     for batch in batches:
@@ -232,43 +277,35 @@ def _join_blocks(batches):
         for i in range(batch.num_rows):
             if keys[i] != key or len(block) >= BLOCK:
                 if len(block) > 1:
-                    out += _local(block)
+                    out += _local(block, order)
                 key, block = keys[i], {}
             block[cs[i]] = (ns[i], _items(batch.column(3), i))
         yield _edge_batch(out)
     if len(block) > 1:
-        yield _edge_batch(_local(block))
+        yield _edge_batch(_local(block, order))
 
 
-def _prefixer(common: np.ndarray, place: np.ndarray):
-    """Prefixes in the global order: elements not in ``common`` by hash, then those by their place."""
+def _prefixes(batches, order: Order):
+    """The elements of each set's prefix in the global order: (e, c, n, pos)."""
+    for batch in batches:
+        e, c, n, pos = [], [], [], []
+        for i in range(batch.num_rows):
+            s, size = order.sort(_items(batch.column(2), i)), batch.column(1)[i].as_py()
+            p = size - (3 * size + 3) // 4 + 1
+            e.append(_signed(np.ascontiguousarray(s[:p])))
+            c.append(np.full(p, batch.column(0)[i].as_py()))
+            n.append(np.full(p, size))
+            pos.append(np.arange(p))
+        if e:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (e, c, n, pos)], names=["e", "c", "n", "pos"])
+
 
-    def run(batches):
-        for batch in batches:
-            e, c, n, pos = [], [], [], []
-            for i in range(batch.num_rows):
-                s, size = _items(batch.column(2), i), batch.column(1)[i].as_py()
-                p = size - (3 * size + 3) // 4 + 1
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    late = common[at] == s
-                    s = np.concatenate([s[~late], s[late][np.argsort(place[at[late]])]])
-                e.append(_signed(np.ascontiguousarray(s[:p])))
-                c.append(np.full(p, batch.column(0)[i].as_py()))
-                n.append(np.full(p, size))
-                pos.append(np.arange(p))
-            if e:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (e, c, n, pos)], names=["e", "c", "n", "pos"])
-
-    return run
-
-
-def _join_units(batches):
+def _join_units(batches, order: Order):
     """Queries (role 0) against members (role 1) of one unit; links between different components."""
 
     def links(queries: dict, members: dict) -> list:
         ids = list(members)
-        tree, forest = PrefixTree([members[c][2] for c in ids], np.array([members[c][1] for c in ids], np.int64)), _Forest()
+        tree, forest = PrefixTree([members[c][2] for c in ids], np.array([members[c][1] for c in ids], np.int64), order.places), _Forest()
         for comp, n, s in queries.values():
             for k in tree.query(s, n):
                 forest.join(comp, members[ids[k]][0])
@@ -289,23 +326,15 @@ def _join_units(batches):
         yield _edge_batch(links(*sides))
 
 
-def _remaining(sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Step 3: all links between different components, as edges (a, b) of components."""
+def _remaining(sets: DataFrame, comps: DataFrame, order) -> DataFrame:
+    """Step 4: all links between different components, as edges (a, b) of components."""
     spark = sets.sparkSession
-    top = sets.select(F.explode("items").alias("e")).groupBy("e").count().where(F.col("count") >= FREQUENT).orderBy(F.col("count").desc(), "e").limit(RANKED).toPandas()
-    hashes = top["e"].to_numpy(np.int64).view(np.uint64)
-    by_hash = np.argsort(hashes)
-    # the most frequent comes last
-    order = spark.sparkContext.broadcast((hashes[by_hash], (len(hashes) - np.arange(len(hashes)))[by_hash]))
-
-    def prefixes(batches):
-        yield from _prefixer(*order.value)(batches)
-
-    lists = sets.mapInArrow(prefixes, "e long, c long, n long, pos long")
+    lists = sets.mapInArrow(lambda batches: _prefixes(batches, order.value), "e long, c long, n long, pos long")
     lists = keep(lists.join(comps.select(F.col("v").alias("c"), "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c")), "lists")
     open_ = keep(lists.groupBy("e").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("m")).where("_lo != _hi").select("e", "m"), "open")
     live = keep(lists.join(open_, "e"), "live")
 
+    # short lists: a trie of each set's possible partners
     a, b = (live.where(F.col("m") <= SHORT).select("e", *[F.col(x).alias(f"{x}_{s}") for x in ("c", "n", "pos", "comp")]) for s in "ab")
     need = F.floor((3 * (F.col("n_a") + F.col("n_b")) + 6) / 7)
     pairs = (
@@ -313,38 +342,45 @@ def _remaining(sets: DataFrame, comps: DataFrame) -> DataFrame:
         .where(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need).select("c_a", "c_b", "comp_a", "comp_b").distinct()
     )
     pairs = keep(pairs, "pairs")
-    left, right = (sets.select(F.col("c").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"), F.col("items").alias(f"items_{s}")) for s in "ab")
-    both = F.size(F.array_intersect("items_a", "items_b"))
-    checked = pairs.join(left, "c_a").join(right, "c_b").where(100 * both >= 75 * (F.col("n_a") + F.col("n_b") - both)).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-
-    long_ = live.where(F.col("m") > SHORT).select("e", "c", "comp").distinct()
-    if long_.limit(1).count() == 0:
-        return checked
-    # long lists that share members, as one
+    blocks = pairs.groupBy("c_a", "comp_a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("_tb"))
+    asked = blocks.select("c_a", F.explode(F.sequence(F.lit(0), F.col("_tb") - 1)).alias("t"), F.lit(0).alias("role"), F.col("c_a").alias("c"), F.col("comp_a").alias("comp"))
+    partners = pairs.join(blocks.select("c_a", "_tb"), "c_a").select("c_a", F.pmod(F.xxhash64("c_b"), F.col("_tb")).cast("int").alias("t"), F.lit(1).alias("role"), F.col("c_b").alias("c"), F.col("comp_b").alias("comp"))
+    units = asked.unionByName(partners).select(F.xxhash64("c_a", "t").alias("unit"), "role", "c", "comp")
+
+    long_ = live.where(F.col("m") > SHORT).select("e", "c", "comp", "n").distinct()
+    if long_.limit(1).count():
+        units = units.unionByName(_long_lists(long_))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = units.join(sets, "c").select("unit", "role", "c", "comp", "n", "items")
+    return whole.repartition(n, "unit").sortWithinPartitions("unit", "role").mapInArrow(lambda batches: _join_units(batches, order.value), "a long, b long")
+
+
+def _long_lists(long_: DataFrame) -> DataFrame:
+    """Units (unit, role, c, comp) for lists of many members, (e, c, comp, n): those that share members are an area."""
     areas = components(long_.select(F.col("c").alias("a"), F.col("e").alias("b")))
-    members = keep(long_.select("c", "comp").distinct().join(areas.select(F.col("v").alias("c"), F.col("comp").alias("area")), "c"), "members")
-    sizes = members.groupBy("area", "comp").agg(F.count(F.lit(1)).alias("k"))
-    plan = keep(sizes.groupBy("area").agg(F.max(F.struct("k", "comp")).alias("_top"), F.sum("k").alias("_all")).select("area", F.col("_top.comp").alias("_main"), F.ceil(F.col("_all") / MEMBERS).cast("int").alias("_tb"), F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_top.k")) / QUERIES).cast("int")).alias("_qb")), "plan")
-    placed = members.join(plan, "area")
+    size_class = F.floor(F.log(F.col("n")) / float(np.log(SIZE_STEP))).cast("int")
+    members = keep(long_.select("c", "comp", size_class.alias("k")).distinct().join(areas.select(F.col("v").alias("c"), F.col("comp").alias("area")), "c"), "members")
+    main = members.groupBy("area", "comp").agg(F.count(F.lit(1)).alias("_n")).groupBy("area").agg(F.max(F.struct("_n", "comp"))["comp"].alias("_main"))
+    near = F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1))
+    every = members.groupBy("area", "k").agg(F.count(F.lit(1)).alias("_n")).select("area", near.alias("k"), "_n").groupBy("area", "k").agg(F.ceil(F.sum("_n") / MEMBERS).cast("int").alias("_tb"))
+    outside = keep(members.join(main, "area").where(F.col("comp") != F.col("_main")).drop("_main"), "outside")
+    plan = keep(outside.groupBy("area", "k").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_qb")).join(every, ["area", "k"]), "plan")
     block = lambda seed, n: F.pmod(F.xxhash64("c", F.lit(seed)), F.col(n)).cast("int")
-    queries = placed.where(F.col("comp") != F.col("_main")).select("area", "c", "comp", F.lit(0).alias("role"), block(1, "_qb").alias("q"), F.explode(F.sequence(F.lit(0), F.col("_tb") - 1)).alias("t"))
-    targets = placed.select("area", "c", "comp", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)).alias("q"), block(2, "_tb").alias("t"))
-    units = queries.unionByName(targets).join(sets, "c").select(F.xxhash64("area", "q", "t").alias("unit"), "role", "c", "comp", "n", "items")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = units.repartition(n, "unit").sortWithinPartitions("unit", "role").mapInArrow(_join_units, "a long, b long")
-    return checked.unionByName(joined)
+    queries = outside.join(plan, ["area", "k"]).select("area", "k", "c", "comp", F.lit(0).alias("role"), block(1, "_qb").alias("q"), F.explode(F.sequence(F.lit(0), F.col("_tb") - 1)).alias("t"))
+    targets = members.select("area", "c", "comp", near.alias("k")).join(plan, ["area", "k"]).select("area", "k", "c", "comp", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)).alias("q"), block(2, "_tb").alias("t"))
+    return queries.unionByName(targets).select(F.xxhash64("area", "k", "q", "t").alias("unit"), "role", "c", "comp")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles and component_id, the smallest id that links lead to."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first().b or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     kind = rows.schema["id"].dataType
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-    emit, count = _emitter(parts, id_type)
+    emit, count = _emitter(parts, to_arrow_type(kind))
     packed = rows.mapInArrow(emit, f"kind int, part int, id {kind.simpleString()}, key long, h binary, c long, n long, once binary, owner binary, often binary")
-    found = keep(packed.repartition(parts, "part").mapInArrow(count, f"kind int, id {kind.simpleString()}, key long, h binary, c long, n long"), "found")
+    found = keep(packed.repartitionById(parts, F.col("part")).mapInArrow(count, f"kind int, id {kind.simpleString()}, key long, h binary, c long, n long"), "found")
 
     release(spark)
     each = found.where("kind = 0").select("id", "key", "h", "c", "n")
@@ -357,10 +393,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sets = keep(texts.mapInArrow(_sets, "c long, n long, items array<long>").dropDuplicates(["c"]), "sets")
 
     near = sets.mapInArrow(_buckets, "key long, c long, n long, items array<long>").hint("rebalance", F.col("key")).sortWithinPartitions("key")
-    comps = components(near.mapInArrow(_join_blocks, "a long, b long"))
+    order = spark.sparkContext.broadcast(global_order(sets))
+    comps = components(near.mapInArrow(lambda batches: _join_blocks(batches, order.value), "a long, b long"))
     comps = keep(comps, "comps")
     release(spark)
-    rest = keep(_remaining(sets, comps), "rest")
+    rest = keep(_remaining(sets, comps, order), "rest")
     if rest.limit(1).count():
         comps = components(comps.select(F.col("v").alias("a"), F.col("comp").alias("b")).unionByName(rest))
     smallest = F.min(F.struct(F.col("first").isNull().alias("no"), "first"))

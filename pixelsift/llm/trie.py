@@ -1,6 +1,7 @@
 """A prefix tree of ordered sets, in flat numpy arrays.
 
-Sets are written in one order, elements that most of them hold first, so similar sets share long paths.
+Sets are written in one order, the global one from its end: elements with the highest place first, those without a
+place by descending hash. Frequent elements come first, so similar sets share long paths.
 Runs without branches are one node. A query goes down level by level over all nodes that are still alive:
 the overlap with a shared path is counted once, and a subtree is dropped when even its longest set
 can't make up what is missing, given how many elements are left on either side.
@@ -17,13 +18,14 @@ def needed(nx, ny):
 
 
 class PrefixTree:
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        """sets: arrays of distinct uint64; sizes: of the whole sets (elements that no other set has may be left out)."""
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, places=lambda elements: np.zeros(len(elements), np.int64)):
+        """sets: arrays of distinct uint64; sizes: of the whole sets (elements that no other set has may be left out);
+        places: the places of elements in the global order, 0 for those that go by their hash."""
         lengths = np.array([len(s) for s in sets], np.int64)
         every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         self.universe, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
         rank = np.empty(len(counts), np.int64)
-        rank[np.lexsort((self.universe, -counts))] = np.arange(len(counts))
+        rank[np.lexsort((-np.arange(len(counts)), -places(self.universe)))] = np.arange(len(counts))
         self.rank, self.frequency = rank, counts
         ranked, at = rank[inverse], np.concatenate([[0], np.cumsum(lengths)])
         docs = [np.sort(ranked[at[i] : at[i + 1]]) for i in range(len(sets))]

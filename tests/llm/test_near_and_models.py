@@ -77,11 +77,33 @@ def test_long_lists_and_small_blocks(docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SHORT", 3)
     monkeypatch.setattr(jaccard_join, "QUERIES", 5)
     monkeypatch.setattr(jaccard_join, "MEMBERS", 7)
-    monkeypatch.setattr(jaccard_join, "_join_blocks", lambda batches: iter(()))  # step 2 finds nothing
+    monkeypatch.setattr(jaccard_join, "_join_blocks", lambda batches, order: iter(()))  # step 3 finds nothing
     texts = corpus(2, 120, 2, 50, 5)
     assert result(jaccard_join.linked(docs(*texts))) == linked_by_hand(texts)
 
 
+def test_one_order_and_other_ids(docs, monkeypatch):
+    """Whatever part of the order is by frequency, and for ids of any type."""
+    texts = corpus(3, 120, 3, 50, 5)
+    want = linked_by_hand(texts)
+    for ranked in (0, 30):
+        monkeypatch.setattr(jaccard_join, "RANKED", ranked)
+        assert result(jaccard_join.linked(docs(*texts))) == want
+    monkeypatch.setattr(jaccard_join, "RANGE_BYTES", 100)
+    df = docs(*texts).withColumn("doc_id", F.col("doc_id").cast("decimal(20,2)"))
+    assert Counter((int(r.doc_id), r.n_shingles, int(r.component_id)) for r in jaccard_join.linked(df).collect()) == want
+
+
+def test_order():
+    rng = np.random.default_rng(3)
+    s = np.unique(rng.integers(0, 1 << 60, 40, dtype=np.uint64))
+    order = jaccard_join.Order(s[10:20].copy(), rng.permutation(10) + 1)
+    got = order.sort(s)
+    assert (got[:30] == np.concatenate([s[:10], s[20:]])).all() and (order.places(got[30:]) == np.arange(1, 11)).all()
+    other = order.sort(s[5:30])
+    assert [x for x in got.tolist() if x in set(other.tolist())] == other.tolist()
+
+
 def test_one_of_each(docs):
     texts = [(3, "a b c d e f g"), (1, "A b c d e  f g"), (2, "x"), (4, None), (5, ""), (2, "x")]
     left = jaccard_join.one_of_each(docs(*texts, extra=("n",)))
@@ -97,7 +119,9 @@ def test_tree_against_brute_force():
             b = base[rng.integers(4)]
             sets.append(np.unique(np.concatenate([b[rng.random(len(b)) > rng.random() * 0.25], rng.integers(0, 1 << 60, rng.integers(0, 4), dtype=np.uint64)])))
         sets = [s for s in sets if len(s)]
-        tree = PrefixTree(sets, np.array([len(s) for s in sets]))
+        known = np.unique(np.concatenate(sets))[::3]
+        order = jaccard_join.Order(known, rng.permutation(len(known)) + 1)
+        tree = PrefixTree(sets, np.array([len(s) for s in sets]), order.places)
         for s in sets:
             want = {k for k, x in enumerate(sets) if 175 * len(np.intersect1d(s, x)) >= 75 * (len(s) + len(x))}
             assert set(tree.query(s, len(s)).tolist()) == want

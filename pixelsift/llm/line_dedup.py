@@ -18,12 +18,14 @@ Plan, in DataFrame functions only:
    cut out of its text.
 
 Only hashes and positions are shuffled until the last join, which brings the runs to their documents.
-Joins are on keys that may be hot (a very common line) but are ones whose large partitions Spark can split,
-and no group of a fingerprint or window is ever gathered.
+Joins are on keys that may be hot (a very common line), so they are salted: a key's rows are dealt over
+:data:`SALTS` tasks, beside copies of its one row of the other side. No group of a fingerprint or window is ever
+gathered.
 
 Defined results: null texts stay null and empty ones empty; null ids come before all others; rows that agree in
 id and text are one document and get the same result; texts of one id that differ are ordered by their hash;
-an emptied document stays, with an empty text; other columns are carried unchanged.
+an emptied document stays, with an empty text, unless ``drop_emptied``; texts of any length are taken whole; an empty
+table gives an empty table; other columns are carried unchanged.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from pixelsift.llm.mixing import word_count
 
 #: A repeated run of fewer words stays.
 LEAST_WORDS = 50
+#: Tasks that the rows of one fingerprint or window are dealt over.
+SALTS = 16
 
 
 def _key(text: Column) -> Column:
@@ -73,10 +77,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per document with repeats: _id, _th and ``runs``, an array of (a, z), the first and last line of each."""
     every = keep(windows(docs, id_col, text_col, least), "windows")
     again = every.groupBy("fp").agg(F.min("at").alias("_lo"), F.max("at").alias("_hi")).where("_lo != _hi").select("fp")
-    left = keep(every.join(again, "fp", "left_semi").select("_id", "_th", "a", "z", "dg"), "candidates")
+    salt = F.pmod(F.xxhash64("_id", "_th", "a"), F.lit(SALTS)).cast("int").alias("_salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    left = keep(every.select("*", salt).join(again.select("fp", salts), ["fp", "_salt"], "left_semi").select("_id", "_th", "a", "z", "dg"), "candidates")
     place = F.struct("_id", "_th", "a")
     first = left.groupBy("dg").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first != _last").select("dg", "_first")
-    repeats = left.join(keep(first, "firsts"), "dg").where(place != F.col("_first")).select("_id", "_th", "a", "z").distinct()
+    repeats = left.select("*", salt).join(keep(first, "firsts").select("dg", "_first", salts), ["dg", "_salt"]).where(place != F.col("_first")).select("_id", "_th", "a", "z").distinct()
     by = Window.partitionBy("_id", "_th").orderBy("a", "z")
     reach = F.max("z").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = repeats.withColumn("_new", F.when(F.col("a") <= reach + 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

@@ -58,3 +58,12 @@ def test_junk_lines(docs):
     text = "\n".join(["ab cd"] * 200)
     (row,) = line_dedup.delete_repeated_runs(docs((1, text))).collect()
     assert row.text == "ab cd"  # a run may overlap its earlier occurrence
+
+
+def test_a_very_long_text_and_emptied_documents(docs):
+    passage = " ".join(f"w{i}" for i in range(60))
+    long = "\n".join(f"{i} " + " ".join(f"v{(i * k) % 97}" for k in range(9)) for i in range(20_000))
+    df = docs((1, passage), (2, passage), (3, long), (4, long + "\n" + passage), (5, None), (6, " \n"))
+    left = {r.doc_id: r.text for r in line_dedup.delete_repeated_runs(df).collect()}
+    assert left == {1: passage, 2: "", 3: long, 4: "", 5: None, 6: " \n"}
+    assert {r.doc_id for r in line_dedup.delete_repeated_runs(df, drop_emptied=True).collect()} == {1, 3, 5, 6}

@@ -70,6 +70,8 @@ def shape_for(distinct: int, n_tokens: int) -> Shape:
 
 #: Words whose counts are broadcast, and slots of their table.
 KNOWN, SLOTS = 1 << 17, 1 << 19
+#: Bytes of text that one learner takes, at least, and rows of weights that are stepped at once (they stay in the cache).
+LEARNER_BYTES, AT_ONCE = 16 << 20, 512
 #: Distinct words that a task counts before it sends them; chunks that the weights are sent in.
 FLUSH, CHUNKS = 1_000_000, 64
 #: Bytes of text that are tokenised together.
@@ -286,20 +288,24 @@ class _Learner:
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         n = np.diff(np.append(first, len(flat)))
         one = n == 1  # most rows are met once; only the others are summed
-        self._step(flat[first[one]], np.take(error, order[first[one]], axis=0), 1)
+        alone = first[one]
+        for lo in range(0, len(alone), AT_ONCE):
+            own = alone[lo : lo + AT_ONCE]
+            self._step(flat[own], np.take(error, order[own], axis=0), 1)
         more = n[~one]
         if len(more):
             summed = np.add.reduceat(np.take(error, order[np.repeat(~one, n)], axis=0), np.cumsum(more) - more, axis=0)
             self._step(flat[first[~one]], summed, more)
-
-        nodes, bits = path(words, target, self.shape)
-        at = cells(hashes, nodes, self.shape)
-        miss = (bits - _right(self.tree, self.base, at, nodes)).astype(np.float32).ravel()
-        square = miss * miss
-        miss *= np.float32(TREE_RATE)
-        for own in at.reshape(TREE_FEATURES, -1):
-            np.add.at(self.bent, own, square)
-            np.add.at(self.tree, own, miss / np.sqrt(self.bent[own]))
+        for lo in range(0, len(words), AT_ONCE):
+            part = slice(lo, lo + AT_ONCE)
+            nodes, bits = path(words[part], target[part], self.shape)
+            at = cells(hashes[:, part], nodes, self.shape)
+            miss = (bits - _right(self.tree, self.base, at, nodes)).astype(np.float32).ravel()
+            square = miss * miss
+            miss *= np.float32(TREE_RATE)
+            for own in at.reshape(TREE_FEATURES, -1):
+                np.add.at(self.bent, own, square)
+                np.add.at(self.tree, own, miss / np.sqrt(self.bent[own]))
 
     def _step(self, row: np.ndarray, step: np.ndarray, n) -> None:
         grown = self.grown[row] + np.einsum("ij,ij->i", step, step) / np.float32(CLASSES)
@@ -324,8 +330,8 @@ class _Learner:
                 yield CHUNKS + c, np.empty(0, np.int16), np.minimum(bent[part], 60_000).astype(np.float16), change[part]
 
 
-def _training(docs: DataFrame, text_col: str, shared, start: tuple, turn: int, shape: Shape) -> tuple:
-    """One round of updates; the averaged weights."""
+def _training(docs: DataFrame, text_col: str, shared, start: tuple, turn: int, shape: Shape, learners: int) -> tuple:
+    """One round of updates by so many learners; the averaged weights."""
     spark = docs.sparkSession
     begin = spark.sparkContext.broadcast(start)
 
@@ -377,7 +383,8 @@ def _training(docs: DataFrame, text_col: str, shared, start: tuple, turn: int, s
             mean = (d / np.maximum(u.reshape(-1, *[1] * (d.ndim - 1)), 1e-9)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["chunk", "change"])
 
-    sent = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "chunk int, at binary, use binary, change binary")
+    # learners are joined tasks, without a shuffle: each sends all it learned, whatever the size of its share
+    sent = docs.select(F.col(text_col).cast("binary")).coalesce(learners).mapInArrow(run, "chunk int, at binary, use binary, change binary")
     found = sent.repartitionById(2 * CHUNKS, F.col("chunk")).mapInArrow(total, "chunk int, change binary").collect()  # 2 * CHUNKS rows, as large as the weights
     weights, tree = (x.copy() for x in start)
     for r in found:
@@ -450,8 +457,9 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     mass, base = masses(n_leaf, v_leaf, shape)
     shared = spark.sparkContext.broadcast((classes, base))
     learned = np.zeros((1 << shape.rows, CLASSES), np.float32), np.zeros(1 << shape.cells, np.float32)
+    learners = max(1, (docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first().b or 0) // LEARNER_BYTES)
     for turn in range(ROUNDS):
-        learned = _training(docs, text_col, shared, learned, turn, shape)
+        learned = _training(docs, text_col, shared, learned, turn, shape, learners)
     return Model(_frequent(words), classes, mass, base, *learned, shape, n_all, v_all), words.select("word", "n")
 
 

@@ -2,8 +2,9 @@
 
 A configuration says which planes are taken (alpha first, then the colours in some order; each channel's planes
 from 7 down or from 0 up), whether pixels are visited by rows or columns, and whether bits are inverted.
-The place of every bit has a closed form, so extraction over long pixels is one projection and one
-aggregation, without window or sort, and a bound on the bytes becomes a filter before the aggregation.
+The place of every bit has a closed form: a pixel makes at most five bytes, the first and last of which it may share
+with its neighbours, so extraction over long pixels is one projection and one aggregation, without window or sort (none
+if pixels fill whole bytes), and a bound on the bytes becomes a filter before it.
 The packed form does the same with numpy for one image at a time.
 """
 
@@ -72,18 +73,28 @@ def extract_bits(px: DataFrame, cfg: Config, roi: tuple[int, int, int, int] | No
     k = len(bits)
     if k == 0 or max_bytes == 0:
         return px.select("image_id", F.lit(0).cast("long").alias("byte_idx"), F.lit(0).alias("value")).where("false")
-    sized = px.join(F.broadcast(size(px)), "image_id")
+    sized = px.join(size(px), "image_id")
     rank = F.col("y").cast("long") * F.col("w") + F.col("x") if cfg.row_first else F.col("x").cast("long") * F.col("h") + F.col("y")
-    ranked = sized.select("image_id", rank.alias("rank"), "argb")
+    ranked = sized.select("image_id", rank.alias("rank"), (F.lit((1 << 32) - 1) - F.col("argb") if cfg.invert else F.col("argb")).alias("argb"))
     if max_bytes is not None:  # pixels whose first bit is beyond the bound aren't looked at
         ranked = ranked.where(F.col("rank") * k < 8 * max_bytes)
-    value = lambda b: F.shiftrightunsigned(F.col("argb"), b).bitwiseAND(F.lit(1))
-    each = F.array(*[F.struct((F.col("rank") * k + i).alias("at"), (1 - value(b) if cfg.invert else value(b)).alias("bit")) for i, b in enumerate(bits)])
-    flat = ranked.select("image_id", F.explode(each).alias("e")).select("image_id", "e.at", "e.bit")
+    # the pixel's bits as one number; bits that follow each other in the pixel move together
+    taken, i = F.lit(0).cast("long"), 0
+    while i < k:
+        n = 1
+        while i + n < k and bits[i + n] == bits[i] - n:
+            n += 1
+        part = F.shiftrightunsigned(F.col("argb"), bits[i] - n + 1).bitwiseAND(F.lit((1 << n) - 1))
+        taken, i = taken + F.shiftleft(part, k - i - n), i + n
+    start = F.col("rank") * k
+    n_bytes = F.shiftright(F.pmod(start, F.lit(8)) + k + 7, 3).cast("int")
+    number = ranked.select("image_id", F.shiftright(start, 3).alias("_first"), n_bytes.alias("_n"), taken.alias("_v"), F.pmod(start, F.lit(8)).cast("int").alias("_off"))
+    shifted = number.withColumn("_v", F.expr(f"shiftleft(_v, _n * 8 - _off - {k})"))
+    byte = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.struct((F.col("_first") + j).alias("byte_idx"), j.alias("j")))
+    flat = shifted.select("image_id", "_v", "_n", F.explode(byte).alias("_b")).select("image_id", F.col("_b.byte_idx").alias("byte_idx"), F.expr("cast(shiftright(_v, 8 * (_n - 1 - _b.j)) & 255 as int)").alias("value"))
     if max_bytes is not None:
-        flat = flat.where(F.col("at") < 8 * max_bytes)
-    byte = F.shiftright("at", 3)
-    return flat.groupBy("image_id", byte.alias("byte_idx")).agg(F.sum(F.expr("shiftleft(bit, int(7 - at % 8))")).cast("int").alias("value"))
+        flat = flat.where(F.col("byte_idx") < max_bytes)
+    return flat if k % 8 == 0 else flat.groupBy("image_id", "byte_idx").agg(F.sum("value").cast("int").alias("value"))
 
 
 def assemble(extracted: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ _BLENDS = {
 }
 for _mode, _sql in _BLENDS.items():
     _add(
-        f"combine_{_mode}", lambda s, d, m=_mode: grids.blend(C.events_px(s, d), C.orders_px(s, d), m).select("x", "y", "argb"),
+        f"combine_{_mode}", lambda s, d, m=_mode: grids.blend(C.events_px(s, d), C.orders_px(s, d), m, "combined").select("x", "y", "argb"),
         f"WITH e AS (SELECT * FROM {C.EVENTS_SQL}), o AS (SELECT * FROM {C.ORDERS_SQL}), g AS (SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM range((SELECT greatest((SELECT max(x) FROM e), (SELECT max(x) FROM o)) + 1)) r(x), range((SELECT greatest((SELECT max(y) FROM e), (SELECT max(y) FROM o)) + 1)) q(y)), "
         f"j AS (SELECT g.x, g.y, coalesce(e.argb, 0) & 16777215 AS a, coalesce(o.argb, 0) & 16777215 AS b FROM g LEFT JOIN e ON e.x = g.x AND e.y = g.y LEFT JOIN o ON o.x = g.x AND o.y = g.y) "
         f"SELECT x, y, CAST({_sql} + {_OPAQUE} AS BIGINT) AS argb FROM j",
@@ -108,7 +108,7 @@ for _axis, _name in (("y", "rows"), ("x", "cols")):
     _tw = lambda c, t, a=_axis: f"CAST({c} * 2 + {t} AS INTEGER) AS {c}" if c == a else c
     _half = lambda sql, t: f"SELECT {_tw('x', t)}, {_tw('y', t)}, (argb & 16777215) + {_OPAQUE} AS argb FROM {sql}, m WHERE x < w AND y < h"
     _add(
-        f"interlace_{_name}", lambda s, d, a=_axis: grids.interlace(C.events_px(s, d), C.orders_px(s, d), a).select("x", "y", "argb"),
+        f"interlace_{_name}", lambda s, d, a=_axis: grids.interlace(C.events_px(s, d), C.orders_px(s, d), a, "combined").select("x", "y", "argb"),
         f"WITH m AS (SELECT least((SELECT max(x) FROM {C.EVENTS_SQL}), (SELECT max(x) FROM {C.ORDERS_SQL})) + 1 AS w, least((SELECT max(y) FROM {C.EVENTS_SQL}), (SELECT max(y) FROM {C.ORDERS_SQL})) + 1 AS h) {_half(C.EVENTS_SQL, 0)} UNION ALL {_half(C.ORDERS_SQL, 1)}",
     )
 
@@ -124,6 +124,11 @@ _add(
     f"WITH p AS (SELECT * FROM {C.PERIODIC_SQL}), s AS (SELECT max(x) + 1 AS w FROM p) SELECT CAST(o AS INTEGER) AS \"offset\", CAST(count(*) FILTER (p.argb = q.argb) AS BIGINT) AS matches FROM p CROSS JOIN s JOIN range(1, 10000) r(o) ON o <= w // 2 JOIN p q ON q.y = p.y AND q.x = p.x + o WHERE p.x % 4 = 0 AND p.y % 4 = 0 GROUP BY o ORDER BY 2 DESC, 1 LIMIT 1",
 )
 
+def _square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper hundred rows of the events carrier: the picture of which a thumbnail is made."""
+    return grids.crop(C.events_px(spark, sf_dir), 0, 0, C.EVENTS_WIDTH, 100)
+
+
 # -- geometry -----------------------------------------------------------------------------------------------
 
 _add("roi_crop", lambda s, d: grids.crop(C.events_px(s, d), 7, 5, 40, 4).select("x", "y", "argb"), f"SELECT CAST(x - 7 AS INTEGER) AS x, CAST(y - 5 AS INTEGER) AS y, argb FROM {C.EVENTS_SQL} WHERE x BETWEEN 7 AND 46 AND y BETWEEN 5 AND 8")
@@ -132,10 +137,10 @@ for _turns, _x, _y in ((1, "y", "w - 1 - x"), (2, "w - 1 - x", "h - 1 - y"), (3,
         f"rotate_{90 * _turns}", lambda s, d, t=_turns: grids.rotate(C.events_px(s, d), t).select("x", "y", "argb"),
         f"SELECT CAST({_x} AS INTEGER) AS x, CAST({_y} AS INTEGER) AS y, argb FROM {C.EVENTS_SQL}, (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM {C.EVENTS_SQL})",
     )
-for _name, _factor in (("2x", 2.0), ("half", 0.5)):
+for _name, _factor in (("2x", 2.0), ("half", 0.5), ("third", 1 / 3), ("thumbnail", 0.64)):
     _add(
-        f"scale_{_name}", lambda s, d, f=_factor: grids.scale(C.events_px(s, d), f).select("x", "y", "argb"),
-        f"WITH p AS (SELECT * FROM {C.EVENTS_SQL}), s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM p), g AS (SELECT CAST(a AS INTEGER) AS nx, CAST(b AS INTEGER) AS ny, w, h FROM s, range(1000) r(a), range(100000) q(b) WHERE a < greatest(1, floor(w * {_factor})) AND b < greatest(1, floor(h * {_factor}))) "
+        f"scale_{_name}", lambda s, d, f=_factor, n=_name: (grids.thumbnail(_square(s, d), 64) if n == "thumbnail" else grids.scale(C.events_px(s, d), f)).select("x", "y", "argb"),
+        f"WITH p AS (SELECT * FROM {C.EVENTS_SQL} {'WHERE y < 100' if _name == 'thumbnail' else ''}), s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM p), g AS (SELECT CAST(a AS INTEGER) AS nx, CAST(b AS INTEGER) AS ny, w, h FROM s, range(1000) r(a), range(100000) q(b) WHERE a < greatest(1, floor(w * {_factor} + 0.5)) AND b < greatest(1, floor(h * {_factor} + 0.5))) "
         f"SELECT nx AS x, ny AS y, argb FROM g JOIN p ON p.x = least(w - 1, floor(nx / {_factor})) AND p.y = least(h - 1, floor(ny / {_factor}))",
     )
 

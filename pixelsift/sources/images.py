@@ -337,7 +337,29 @@ def to_long(packed: DataFrame) -> DataFrame:
 
 
 def to_packed(px: DataFrame, has_alpha: bool = True) -> DataFrame:
-    """Long pixels as packed images; cells that are missing are 0. The pixels of an image meet in one row."""
-    bytes_ = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "argb"))), lambda p: F.lpad(F.hex(p["argb"]), 8, "0")), "")
-    whole = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.unhex(bytes_).alias("pixels"), F.count(F.lit(1)).alias("_n"))
-    return whole.where(F.col("_n") == F.col("width").cast("long") * F.col("height")).select("image_id", "width", "height", F.lit(has_alpha).alias("has_alpha"), "pixels")
+    """Long pixels as packed images; cells that are missing are 0. Pixels are gathered to rows of their image in parallel,
+    rows to images; a packed image is one row."""
+
+    def lines(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            made = []
+            for i in range(batch.num_rows):
+                x = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
+                line = np.zeros(int(x.max()) + 1, ">u4")
+                line[x] = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                made.append(line.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["image_id", "y", "line"])
+
+    def whole(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            for image, w, h, rows in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                out = np.zeros((h, w), ">u4")
+                for row in rows:
+                    line = np.frombuffer(row["line"], ">u4")
+                    out[row["y"], : len(line)] = line
+                yield pa.RecordBatch.from_arrays([pa.array([image], pa.string()), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([has_alpha]), pa.array([out.tobytes()], pa.binary())], names=["image_id", "width", "height", "has_alpha", "pixels"])
+
+    gathered = px.groupBy("image_id", "y").agg(F.collect_list("x").alias("xs"), F.collect_list("argb").alias("values")).select("image_id", "y", "xs", "values")
+    packed = gathered.mapInArrow(lines, "image_id string, y int, line binary")
+    images = packed.groupBy("image_id").agg((F.max(F.octet_length("line")) / 4).cast("int").alias("w"), (F.max("y") + 1).alias("h"), F.collect_list(F.struct("y", "line")).alias("lines"))
+    return images.mapInArrow(whole, "image_id string, width int, height int, has_alpha boolean, pixels binary")

@@ -88,15 +88,15 @@ def test_blend(spark, mode):
             else:
                 v = sum((part[mode](p >> s & 255, q >> s & 255) & 255) << s for s in (0, 8, 16))
             want[x, y] = 0xFF000000 | v & 0xFFFFFF
-    assert back(grids.blend(frame(spark, a), frame(spark, b, "b"), mode)) == want
+    assert back(grids.blend(frame(spark, a), frame(spark, b, "b"), mode, "c")) == want
 
 
 def test_interlace(spark):
     a, b = image(4, 5, 3), image(5, 4, 6)
-    rows = back(grids.interlace(frame(spark, a), frame(spark, b, "b"), "y"))
+    rows = back(grids.interlace(frame(spark, a), frame(spark, b, "b"), "y", "c"))
     assert set(rows) == {(x, y) for x in range(4) for y in range(6)}
     assert all(v == 0xFF000000 | ((a, b)[y % 2][x, y // 2] & 0xFFFFFF) for (x, y), v in rows.items())
-    cols = back(grids.interlace(frame(spark, a), frame(spark, b, "b"), "x"))
+    cols = back(grids.interlace(frame(spark, a), frame(spark, b, "b"), "x", "c"))
     assert all(v == 0xFF000000 | ((a, b)[x % 2][x // 2, y] & 0xFFFFFF) for (x, y), v in cols.items())
 
 
@@ -146,3 +146,38 @@ def test_palette_and_repeated_entries(spark):
     px = spark.createDataFrame([("a", 0, 0, 1), ("a", 1, 0, 99), ("a", 2, 0, -4)], "image_id string, x int, y int, pal_idx int")
     assert back(grids.palette_map(px, palette)) == {(0, 0): 7, (1, 0): 9, (2, 0): 5}
     assert [r.pal_idx for r in adjacent_equal(palette).collect()] == [2]
+
+
+def test_several_images_with_holes(spark):
+    """Pairs of images by their id; cells that one or both lack count as 0; packing fills them with 0."""
+    from pixelsift.sources import images
+
+    a, b, c, d = image(21, 4, 2), image(22, 2, 5), image(23, 3, 3), image(24, 3, 3)
+    del c[(0, 1)], d[(0, 1)], d[(2, 2)]
+    first, second = frame(spark, a, "p").union(frame(spark, c, "q")), frame(spark, b, "p").union(frame(spark, d, "q"))
+    got = {(r.image_id, r.x, r.y): r.argb for r in grids.blend(first, second, "xor").collect()}
+    low = lambda v: v & 0xFFFFFF
+    want = {("p", x, y): 0xFF000000 | low(a.get((x, y), 0) ^ b.get((x, y), 0)) for x in range(4) for y in range(5)}
+    want |= {("q", x, y): 0xFF000000 | low(c.get((x, y), 0) ^ d.get((x, y), 0)) for x in range(3) for y in range(3)}
+    assert got == want
+    rows = {(r.image_id, r.x, r.y): r.argb for r in grids.interlace(first, second, "y").collect()}
+    assert rows == {(i, x, 2 * y + t): 0xFF000000 | low(v) for i, w, h, pair in (("p", 2, 2, (a, b)), ("q", 3, 3, (c, d))) for t, px in enumerate(pair) for (x, y), v in px.items() if x < w and y < h}
+    packed = {r.image_id: r for r in images.to_packed(first).collect()}
+    assert (packed["q"].width, packed["q"].height) == (3, 3) and len(packed) == 2
+    assert bytes(packed["q"].pixels) == b"".join(c.get((x, y), 0).to_bytes(4, "big") for y in range(3) for x in range(3))
+
+
+@pytest.mark.parametrize("factor", [0.3, 1 / 3, 0.5, 1.0, 1.7, 3.0])
+def test_scale_by_hand(spark, factor):
+    px = image(31, 13, 7)
+    w, h = max(1, int(13 * factor + 0.5)), max(1, int(7 * factor + 0.5))
+    assert back(grids.scale(frame(spark, px), factor)) == {(x, y): px[min(12, int(x / factor)), min(6, int(y / factor))] for x in range(w) for y in range(h)}
+
+
+def test_thumbnail(spark):
+    px = image(32, 20, 9)
+    small = back(grids.thumbnail(frame(spark, px), 8))
+    assert small == {(x, y): px[min(19, int(x / 0.4)), min(8, int(y / 0.4))] for x in range(8) for y in range(4)}
+    assert back(grids.thumbnail(frame(spark, px), 32)) == px
+    with pytest.raises(ValueError):
+        grids.thumbnail(frame(spark, px), 513)

@@ -82,6 +82,11 @@ def argb_hex(argb: Column) -> Column:
     return F.concat(F.lit("#"), F.lpad(F.hex(argb), 8, "0"))
 
 
+def channel_text(argb: Column) -> Column:
+    """The four channels as numbers, for people."""
+    return F.format_string("A %d, R %d, G %d, B %d", *[channel(argb, n).cast("int") for n in CHANNELS])
+
+
 def bit_planes(argb: Column) -> Column:
     """The 32 bits in groups of eight: alpha, red, green, blue."""
     return F.regexp_replace(F.lpad(F.bin(argb), 32, "0"), "^(.{8})(.{8})(.{8})(.{8})$", "$1 $2 $3 $4")

@@ -86,3 +86,15 @@ def snippet(text: Column, most: int = 32) -> Column:
 
 def selection_text(r: Column) -> Column:
     return F.format_string("%d × %d at %d, %d", r["width"], r["height"], r["x"], r["y"])
+
+
+def device_rectangle(x: Column, y: Column, width: Column, height: Column, scale_x: Column, scale_y: Column) -> Column:
+    """A rectangle of a screen in its device's pixels; scales that aren't positive count as 1. Empty ones are null."""
+    sx, sy = (F.when(s <= 0, F.lit(1.0)).otherwise(s) for s in (scale_x, scale_y))
+    made = region(F.floor(x * sx), F.floor(y * sy), F.greatest(F.lit(1), F.ceil(width * sx)), F.greatest(F.lit(1), F.ceil(height * sy)))
+    return F.when((width > 0) & (height > 0), made)
+
+
+def step_offset(offset: Column, width: Column, by: int = 1) -> Column:
+    """The next (1) or previous (-1) offset of a stereogram, around the width."""
+    return F.pmod(F.pmod(offset, width) + by, width).cast("int")

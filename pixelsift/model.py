@@ -35,7 +35,7 @@ RANDOM_SEED = 0x5EED0001
 
 # Payload types with category, file extension and description.
 PAYLOAD_TYPES = {
-    "EMPTY": ("EMPTY", "", "empty payload"),
+    "EMPTY": ("EMPTY", "", "no bytes"),
     "ZIP": ("ARCHIVE", "zip", "ZIP archive"),
     "SEVEN_ZIP": ("ARCHIVE", "7z", "7-Zip archive"),
     "RAR": ("ARCHIVE", "rar", "RAR archive"),
@@ -49,13 +49,13 @@ PAYLOAD_TYPES = {
     "BMP": ("IMAGE", "bmp", "BMP image"),
     "WEBP": ("IMAGE", "webp", "WebP image"),
     "PDF": ("DOCUMENT", "pdf", "PDF document"),
-    "ELF": ("EXECUTABLE", "elf", "ELF executable or shared object"),
-    "PE": ("EXECUTABLE", "exe", "Windows PE executable"),
-    "JAVA_CLASS": ("EXECUTABLE", "class", "Java class file"),
+    "ELF": ("EXECUTABLE", "elf", "ELF binary"),
+    "PE": ("EXECUTABLE", "exe", "PE binary"),
+    "JAVA_CLASS": ("EXECUTABLE", "class", "Java class"),
     "TEXT_UTF8": ("TEXT", "txt", "UTF-8 text"),
-    "TEXT_ASCII": ("TEXT", "txt", "plain ASCII text"),
-    "BASE64_TEXT": ("TEXT", "txt", "Base64 encoded text"),
-    "BINARY": ("BINARY", "bin", "unrecognised binary data"),
+    "TEXT_ASCII": ("TEXT", "txt", "ASCII text"),
+    "BASE64_TEXT": ("TEXT", "txt", "base64 text"),
+    "BINARY": ("BINARY", "bin", "unknown bytes"),
 }
 
 # Leading bytes (hex) of payload types, tested in this order.

@@ -28,3 +28,18 @@ def catalogue(spark: SparkSession) -> DataFrame:
 def groups(spark: SparkSession) -> DataFrame:
     """Each group with its transforms, in the order of the catalogue."""
     return catalogue(spark).groupBy("group").agg(F.min("idx").alias("first_idx"), F.sort_array(F.collect_list("idx")).alias("idxs"))
+
+
+def random_palette(spark: SparkSession, seed: int, entries: int) -> DataFrame:
+    """(pal_idx, argb) of a seeded palette of at most 256 entries: red, green and blue of each are the next three draws of
+    a 48-bit linear congruential generator."""
+    if not 0 <= entries <= 256:
+        raise ValueError("a palette has at most 256 entries")
+    state, rows = (seed ^ 0x5DEECE66D) % (1 << 48), []
+    for i in range(entries):
+        argb = 0xFF
+        for _ in range(3):
+            state = (state * 0x5DEECE66D + 0xB) % (1 << 48)
+            argb = argb << 8 | state >> 40
+        rows.append((i, argb))
+    return spark.createDataFrame(rows, "pal_idx int, argb long")

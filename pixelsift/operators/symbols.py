@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pixelsift.operators import payload
+
 #: Reports of one symbol are at most so many pixels apart.
 NEAR = 12.0
 #: A sequence has at most so many parts.
@@ -43,6 +45,50 @@ def merge_parts(hits: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return merged.select(*group, "n_parts", (F.col("append_total") - F.col("_have")).alias("missing"), "conflicting", complete.alias("complete"), F.when(complete, joined).alias("payload"), F.when(complete, words).alias("text"), "first_seen")
 
 
+def merge_available(hits: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """What there is of each sequence, complete or not: of every index the first report, in order. Columns: keys,
+    append_parity, append_total, have, missing (the indexes that are, up to :data:`MOST_PARTS`), payload and text."""
+    keys = keys or []
+    group = [*keys, "append_parity", "append_total"]
+    inside = F.col("append_total").isNotNull() & (F.col("append_index") >= 0) & (F.col("append_index") < F.least(F.col("append_total"), F.lit(MOST_PARTS)))
+    first = F.min(F.struct("hit_no", "payload", "text"))
+    slots = hits.where(inside).groupBy(*group, "append_index").agg(first.alias("_p"))
+    merged = slots.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("append_index", "_p.payload", "_p.text"))).alias("_parts"))
+    wanted = F.sequence(F.lit(0), F.least(F.col("append_total"), F.lit(MOST_PARTS)) - 1)
+    return merged.select(
+        *group, F.size("_parts").alias("have"), F.array_except(wanted, F.transform("_parts", lambda p: p["append_index"])).alias("missing"),
+        F.unhex(F.array_join(F.transform("_parts", lambda p: F.hex(F.coalesce(p["payload"], F.lit(b"")))), "")).alias("payload"),
+        F.array_join(F.transform("_parts", lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("text"),
+    )
+
+
+def join_segments(segments: Column) -> Column:
+    """Byte segments of a symbol as one payload; null when there is nothing."""
+    joined = F.unhex(F.array_join(F.transform(segments, lambda s: F.hex(s)), ""))
+    return F.when(F.octet_length(joined) > 0, joined)
+
+
+def label(hits: DataFrame) -> DataFrame:
+    """Add ``text_only``, ``label`` (format and kind of content) and ``list_label`` (also size or text, part and turn)."""
+    binary = F.coalesce(F.octet_length("payload") > 0, F.lit(False))
+    only = ~binary & F.coalesce(F.col("text") != "", F.lit(False))
+    kind = payload.type_field(payload.payload_type(F.col("payload")), 2)
+    words = F.when(F.length("text") > 40, F.concat(F.substring("text", 1, 40), F.lit("…"))).otherwise(F.col("text"))
+    what = F.when(binary, F.concat(F.octet_length("payload").cast("string"), F.lit(" bytes, "), kind)).when(only, F.concat(F.lit("text "), words))
+    part = F.when(F.col("append_total").isNotNull(), F.concat(F.lit("part "), (F.col("append_index") + 1).cast("string"), F.lit(" of "), F.col("append_total").cast("string")))
+    turned = F.when(F.col("rotation") != 0, F.concat(F.lit("turned "), F.col("rotation").cast("string"))) if "rotation" in hits.columns else F.lit(None)
+    dark = F.when(F.col("inverted"), F.lit("inverted")) if "inverted" in hits.columns else F.lit(None)
+    return hits.select(
+        "*", only.alias("text_only"), F.concat_ws(": ", "format", F.when(binary, kind).when(only, F.lit("text only")).otherwise(F.lit("empty"))).alias("label"),
+        F.concat_ws("; ", "format", what, part, turned, dark).alias("list_label"),
+    )
+
+
+def summary(hits: DataFrame) -> DataFrame:
+    """Per image: symbols, those with a binary payload, and parts of sequences."""
+    return hits.groupBy("image_id").agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.octet_length("payload") > 0).alias("binary"), F.count_if(F.col("append_total").isNotNull()).alias("parts"))
+
+
 def content_key(df: DataFrame) -> DataFrame:
     """Add ``content``: the digest of the payload if there is one, else the text."""
     return df.withColumn("content", F.when(F.octet_length("payload") > 0, F.sha2("payload", 256)).otherwise(F.coalesce("text", F.lit(""))))

@@ -99,16 +99,16 @@ def scan_image(argb: np.ndarray, o: Options = Options()) -> list[tuple]:
 
 
 def scan(images: DataFrame, options: Options = Options()) -> DataFrame:
-    """Hits of packed images, in the layout of :data:`~pixelsift.model.HITS`."""
+    """Hits of packed images, in the layout of :data:`~pixelsift.model.HITS`, with ``rotation`` (degrees) and ``inverted``."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        schema = pa.schema([("image_id", pa.string()), ("hit_no", pa.int32()), ("format", pa.string()), ("text", pa.string()), ("payload", pa.binary()), ("located", pa.bool_()), ("bx", pa.float64()), ("by", pa.float64()), *[(f"append_{n}", pa.int32()) for n in ("index", "total", "parity")]])
+        schema = pa.schema([("image_id", pa.string()), ("hit_no", pa.int32()), ("format", pa.string()), ("text", pa.string()), ("payload", pa.binary()), ("located", pa.bool_()), ("bx", pa.float64()), ("by", pa.float64()), *[(f"append_{n}", pa.int32()) for n in ("index", "total", "parity")], ("rotation", pa.int32()), ("inverted", pa.bool_())])
         for batch in batches:
             for image, w, h, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 rows = []
-                for no, (kind, text, payload, points, append, _, _) in enumerate(scan_image(np.frombuffer(data, ">u4").astype(np.uint32).reshape(h, w), options)):
-                    rows.append(dict(zip(schema.names, (image, no, kind, text, payload, True, min(x for x, _ in points), min(y for _, y in points), *(append or (None, None, None))), strict=True)))
+                for no, (kind, text, payload, points, append, turns, inverted) in enumerate(scan_image(np.frombuffer(data, ">u4").astype(np.uint32).reshape(h, w), options)):
+                    rows.append(dict(zip(schema.names, (image, no, kind, text, payload, True, min(x for x, _ in points), min(y for _, y in points), *(append or (None, None, None)), 90 * turns, inverted), strict=True)))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, HITS)
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, HITS + ", rotation int, inverted boolean")

@@ -91,10 +91,14 @@ def walk_png(d: bytes, r: Report) -> None:
         r.field("meaning", PNG_CHUNKS.get(kind, "unknown chunk"))
         if zlib.crc32(d[at + 4 : at + 8 + n]) != crc:
             r.warn(f"CRC is {crc:08x}, computed {zlib.crc32(d[at + 4 : at + 8 + n]):08x}")
-        if not kind.isalpha():
+        if not (kind.isascii() and kind.isalpha()):
             r.warn("chunk type isn't four letters")
+        elif kind[2].islower():
+            r.warn("the reserved bit of the chunk type is set")
         elif kind not in PNG_CHUNKS:
             r.note("critical unknown chunk" if kind[0].isupper() else "ancillary unknown chunk")
+            if kind[1].islower():
+                r.note("the chunk type is a private one")
             r.dump("data", body)
         if not seen and kind != "IHDR":
             r.warn("the first chunk isn't IHDR")
@@ -113,10 +117,19 @@ def walk_png(d: bytes, r: Report) -> None:
                     r.warn(f"bit depth {depth} isn't allowed with colour type {colour}")
                 if comp or filt or inter > 1:
                     r.warn("unknown compression, filter or interlace method")
+                if inter == 1 and h < 32:
+                    r.note("interlaced though only a few rows high")
+                bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour, 0)
+                r.field("pixels", w * h)
+                r.field("raw bytes", (w * h * bands * depth + 7) // 8)
+                if w * h > 500_000_000:
+                    r.warn("more pixels are declared than any real image has")
         elif kind == "PLTE":
             r.field("entries", n // 3)
             if n % 3 or n > 768:
                 r.warn("palette length isn't a multiple of 3 up to 768")
+            if "IDAT" in seen:
+                r.warn("the palette comes after image data")
         elif kind == "tEXt":
             key, _, text = body.partition(b"\0")
             r.field(f"text {_text(key)}", _text(text))
@@ -136,6 +149,18 @@ def walk_png(d: bytes, r: Report) -> None:
             r.field("gamma", _be(body, 0, 4) / 100000)
         elif kind == "tRNS":
             r.field("bytes of transparency", n)
+            if n > 256:
+                r.warn("more transparency than a palette has entries")
+            r.dump("data", body)
+        elif kind == "iCCP":
+            r.field("profile", _text(body.partition(b"\0")[0]))
+        elif kind == "bKGD":
+            r.dump("background", body)
+        elif kind == "acTL" and n == 8:
+            r.field("animation frames", _be(body, 0, 4))
+            r.field("animation plays", _be(body, 4, 4))
+        elif kind == "IEND" and n:
+            r.warn("the end chunk isn't empty")
         if kind == "IDAT" and seen and "IDAT" in seen and seen[-1] != "IDAT":
             r.warn("IDAT chunks aren't consecutive")
         seen.append(kind)
@@ -193,6 +218,13 @@ def walk_jpeg(d: bytes, r: Report) -> None:
         if code == 0xD9:
             ended = True
             break
+        if code == 0:
+            r.warn("a stuffed zero outside a scan")
+            continue
+        if code == 0xD8:
+            r.warn("a second start of image")
+        elif 0xD0 <= code <= 0xD7:
+            r.warn("a restart marker outside a scan")
         if code in (0x01, 0xD8) or 0xD0 <= code <= 0xD7:
             continue
         n = _be(d, at, 2)

@@ -12,12 +12,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelsift.operators import payload
 from pixelsift.sources import structure
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def entropy(data: pd.Series) -> pd.Series:
     return payload.byte_stats.func(data)["entropy"]
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsift import selfcheck
+from pixelsift import queries_small, selfcheck
 from pixelsift.functions import pixels as P
 from pixelsift.functions import regions
 from pixelsift.model import CHANNELS, FLAG_NAMES, LAST_SIGNATURES, LATER_SIGNATURES, RANDOM_MAPS, SIGNATURES, transforms
 from pixelsift.operators import extract as X
-from pixelsift.operators import catalogue, grids, hexdump, lsbscan, payload, symbols, symbolscan
+from pixelsift.operators import grids, hexdump, lsbscan, payload, symbols, symbolscan
 from pixelsift.plans import carriers as C
 from pixelsift.sinks import writers
 from pixelsift.sources import images, structure
@@ -78,7 +78,6 @@ _add(
     "WITH p AS (SELECT n_nationkey AS i, (CAST(n_nationkey AS BIGINT) * 10368889 + 4278190080) % 4294967296 AS argb FROM nation) "
     "SELECT CAST(c_custkey % 40 AS INTEGER) AS x, CAST(c_custkey // 40 AS INTEGER) AS y, CAST(p.argb AS BIGINT) AS argb FROM customer JOIN p ON p.i = least(c_nationkey + c_custkey % 3, (SELECT max(i) FROM p))",
 )
-_add("transform_catalogue", lambda s, d: s.createDataFrame([(i, k, c, n, t) for i, k, c, n, t in transforms()], "idx int, kind string, channel string, number int, label string"))
 _add(
     "pixel_inspector", lambda s, d: C.events_px(s, d).select("x", "y", P.argb_hex(F.col("argb")).alias("hex"), P.bit_planes(F.col("argb")).alias("bits")),
     f"SELECT x, y, '#' || upper(lpad(to_hex(argb), 8, '0')) AS hex, b[1:8] || ' ' || b[9:16] || ' ' || b[17:24] || ' ' || b[25:32] AS bits FROM (SELECT x, y, argb, lpad(bin(argb), 32, '0') AS b FROM {C.EVENTS_SQL})",
@@ -241,11 +240,8 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.to_packed(C.stego_px(spark, sf_dir))
 
 
-_add("lsb_configs_fast", lambda s, d: lsbscan.config_table(s, X.fast_configs(True)))
-_add("lsb_configs_deep", lambda s, d: lsbscan.config_table(s, X.deep_configs(True)))
 _add("lsb_scan_ranked", lambda s, d: lsbscan.scan(_packed(s, d)).select("image_id", "rank", "opt_idx", "score", "reason", "payload_type", "sha256", "total_bytes", "truncated"))
 _add("lsb_scan_deep", lambda s, d: lsbscan.scan(_packed(s, d), deep=True).select("image_id", "rank", "opt_idx", "score", "reason", "payload_type", "sha256", "total_bytes", "truncated"))
-_add("extract_full", lambda s, d: lsbscan.extract_full(_packed(s, d), X.fast_configs(True)[0]).select("image_id", F.sha2("data", 256).alias("sha256"), "total_bytes"))
 
 # -- dumps --------------------------------------------------------------------------------------------------
 
@@ -280,10 +276,6 @@ _add(
     f'WITH h AS (SELECT * FROM {C.HITS_SQL}) SELECT a.image_id, a.hit_no AS "first", b.hit_no AS "second" FROM h a JOIN h b ON a.image_id = b.image_id AND a.text = b.text AND a.hit_no < b.hit_no WHERE a.text <> \'\' AND (NOT a.located OR NOT b.located OR sqrt((a.bx - b.bx) ** 2 + (a.by_ - b.by_) ** 2) <= 12)',
 )
 _add("hit_dedupe", lambda s, d: symbols.deduplicate(C.hits(s, d)).select("image_id", "hit_no", "text", "located"))
-_add(
-    "palette_adjacent_equal", lambda s, d: symbols.adjacent_equal(C.table(s, d, "nation").select(F.lit("n").alias("image_id"), F.col("n_nationkey").alias("pal_idx"), F.col("n_regionkey").alias("argb"))).select("pal_idx", "argb"),
-    "SELECT n_nationkey AS pal_idx, n_regionkey AS argb FROM nation QUALIFY n_regionkey = lag(n_regionkey) OVER (ORDER BY n_nationkey)",
-)
 
 # -- files --------------------------------------------------------------------------------------------------
 
@@ -307,7 +299,6 @@ def _drawn(spark: SparkSession, sf_dir: str, name: str, key: str, text: str, kin
 
 _add("qr_decode", lambda s, d: _drawn(s, d, "supplier", "s_suppkey", "s_name", "qr"), "SELECT CAST(s_suppkey AS VARCHAR) AS image_id, 'QR_CODE' AS format, s_name AS text FROM supplier")
 _add("code128_decode", lambda s, d: _drawn(s, d, "nation", "n_nationkey", "n_name", "bars"), "SELECT CAST(n_nationkey AS VARCHAR) AS image_id, 'CODE_128' AS format, n_name AS text FROM nation")
-_add("transform_neighbours", lambda s, d: catalogue.catalogue(s))
 _add(
     "region_algebra",
     lambda s, d: C.table(s, d, "nation").select("n_nationkey", *[regions.intersect(regions.region(F.col("n_nationkey"), 3, 9, F.col("n_regionkey") + 2), regions.region(5, F.col("n_regionkey"), 11, 7))[f].alias(f) for f in ("x", "y", "width", "height")]),
@@ -317,8 +308,8 @@ _add("self_check", lambda s, d: selfcheck.run(s).select("step", "passed"))
 
 
 def queries() -> dict:
-    return dict(_Q)
+    return _Q | queries_small.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | queries_small.oracle_sql()

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -20,7 +21,13 @@ def test_own_queries_agree_with_sql(spark):
     for name in quick:
         got, want = queries.queries()[name](spark, DATA).toPandas(), con.sql(queries.oracle_sql()[name]).df()
         assert sorted(got.columns) == sorted(want.columns), name
-        rows = lambda df: sorted(tuple("-" if v is None or v != v else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
+
+        def shown(v):
+            if v is None or pd.isna(v):
+                return "-"
+            return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+
+        rows = lambda df: sorted(tuple(map(shown, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
         assert rows(got) == rows(want), name
 
 

@@ -7,9 +7,11 @@ only on the bytes of the words, so they agree between processes and machines.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 
 #: Longer words are replaced by their digest before hashing, which bounds the memory of a block.
 LONG_WORD = 1 << 16
@@ -94,3 +96,23 @@ def shingles(norm: bytes, k: int = 5) -> np.ndarray:
     """The sorted distinct hashes of a text's k-word shingles; a shorter text is one shingle, an empty one none."""
     at = bounds(norm)
     return np.unique(spans(norm, min(k, max(1, len(at[0]))), at))
+
+
+def settle() -> None:
+    """Give memory that a finished task freed back to the system: workers wait for their next task while others run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def settled(run):
+    """A function of batches that settles when they are done."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            settle()
+
+    return wrapped

@@ -28,11 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelsift.llm._text import settled
+
 #: Chunks whose ids a worker remembers; beyond it the table starts anew.
 REMEMBERED = 300_000
 #: Longer chunks are encoded each time, not remembered.
 LONG_CHUNK = 64
 
+#: Rows that are encoded before they are sent on.
+AT_ONCE = 512
+
 _SPLIT = re.compile(r" (?<=\S )(?=\S)")
 
 
@@ -145,7 +150,7 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, carry: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, carry: list[str] | None = None, with_decoded: bool = True) -> DataFrame:
     """One row per document: id (or the columns in ``carry``), n_tokens, ids_sha256, decoded_sha256 and, if
     wanted, token_ids (array) and decoded (binary)."""
     spark = docs.sparkSession
@@ -157,27 +162,28 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
         if coder is None:
             coder = made["coder"] = ByteBPE(model.value, pattern)
         for batch in batches:
-            n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-            for text in batch.column(1):
-                ids = array("I", coder.encode(text.as_py() or ""))
-                decoded = coder.decode(ids)
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(_little(ids)).hexdigest())
-                text_sha.append(hashlib.sha256(decoded).hexdigest())
-                if with_ids:
-                    all_ids.append(np.frombuffer(ids, np.uint32).astype(np.int32))
-                    texts.append(decoded)
-            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            if with_ids:
-                out += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=["row", *made_names])
-
-    made_names = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids", "decoded"] * with_ids]
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                out: dict = {k: [] for k in made_names}
+                for text in part.column(1):
+                    ids = array("I", coder.encode(text.as_py() or ""))
+                    decoded = coder.decode(ids)
+                    out["n_tokens"].append(len(ids))
+                    out["ids_sha256"].append(hashlib.sha256(_little(ids)).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+                    if with_ids:
+                        out["token_ids"].append(np.frombuffer(ids, np.uint32).astype(np.int32))
+                    if with_ids and with_decoded:
+                        out["decoded"].append(decoded)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, kinds[k]) for k, v in out.items()]], names=["row", *made_names])
+
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "token_ids": pa.list_(pa.int32()), "decoded": pa.binary()}
+    made_names = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids, *["decoded"] * (with_ids and with_decoded)]
     carried = [c for c in ([id_col] if carry is None else carry) if c not in made_names]
     # the carried columns travel as one struct, so their names can't meet others
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     made_fields = [T.StructField(n, t) for n, t in zip(made_names, (T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType()), T.BinaryType()))]
-    encoded = rows.mapInArrow(run, T.StructType([rows.schema[0], *made_fields]))
+    encoded = rows.mapInArrow(settled(run), T.StructType([rows.schema[0], *made_fields]))
     return encoded.select(*[F.col("row").getField(c).alias(c) for c in carried], *made_names)
 
 

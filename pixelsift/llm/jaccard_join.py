@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from pixelsift.llm._store import keep, release
-from pixelsift.llm._text import mix, normalise, shingles
+from pixelsift.llm._text import mix, normalise, settled, shingles
 from pixelsift.llm.components import components
 from pixelsift.llm.trie import PrefixTree, needed
 
@@ -329,7 +329,7 @@ def _join_units(batches, order: Order):
 def _remaining(sets: DataFrame, comps: DataFrame, order) -> DataFrame:
     """Step 4: all links between different components, as edges (a, b) of components."""
     spark = sets.sparkSession
-    lists = sets.mapInArrow(lambda batches: _prefixes(batches, order.value), "e long, c long, n long, pos long")
+    lists = sets.mapInArrow(settled(lambda batches: _prefixes(batches, order.value)), "e long, c long, n long, pos long")
     lists = keep(lists.join(comps.select(F.col("v").alias("c"), "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c")), "lists")
     open_ = keep(lists.groupBy("e").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("m")).where("_lo != _hi").select("e", "m"), "open")
     live = keep(lists.join(open_, "e"), "live")
@@ -352,7 +352,7 @@ def _remaining(sets: DataFrame, comps: DataFrame, order) -> DataFrame:
         units = units.unionByName(_long_lists(long_))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = units.join(sets, "c").select("unit", "role", "c", "comp", "n", "items")
-    return whole.repartition(n, "unit").sortWithinPartitions("unit", "role").mapInArrow(lambda batches: _join_units(batches, order.value), "a long, b long")
+    return whole.repartition(n, "unit").sortWithinPartitions("unit", "role").mapInArrow(settled(lambda batches: _join_units(batches, order.value)), "a long, b long")
 
 
 def _long_lists(long_: DataFrame) -> DataFrame:
@@ -379,8 +379,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     kind = rows.schema["id"].dataType
     emit, count = _emitter(parts, to_arrow_type(kind))
-    packed = rows.mapInArrow(emit, f"kind int, part int, id {kind.simpleString()}, key long, h binary, c long, n long, once binary, owner binary, often binary")
-    found = keep(packed.repartitionById(parts, F.col("part")).mapInArrow(count, f"kind int, id {kind.simpleString()}, key long, h binary, c long, n long"), "found")
+    packed = rows.mapInArrow(settled(emit), f"kind int, part int, id {kind.simpleString()}, key long, h binary, c long, n long, once binary, owner binary, often binary")
+    found = keep(packed.repartitionById(parts, F.col("part")).mapInArrow(settled(count), f"kind int, id {kind.simpleString()}, key long, h binary, c long, n long"), "found")
 
     release(spark)
     each = found.where("kind = 0").select("id", "key", "h", "c", "n")
@@ -390,11 +390,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     least = F.expr("(3 * n + 3) div 4 div 8 + 1")
     able = keep(classes.where("n > 0").join(counts, "c").where(F.col("shared") >= least).select("c", "h", "first", F.col("key").alias("_key")), "able")
     texts = rows.join(able, F.col("id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("_key"))).select("c", "h", "text")
-    sets = keep(texts.mapInArrow(_sets, "c long, n long, items array<long>").dropDuplicates(["c"]), "sets")
+    sets = keep(texts.mapInArrow(settled(_sets), "c long, n long, items array<long>").dropDuplicates(["c"]), "sets")
 
-    near = sets.mapInArrow(_buckets, "key long, c long, n long, items array<long>").hint("rebalance", F.col("key")).sortWithinPartitions("key")
+    near = sets.mapInArrow(settled(_buckets), "key long, c long, n long, items array<long>").hint("rebalance", F.col("key")).sortWithinPartitions("key")
     order = spark.sparkContext.broadcast(global_order(sets))
-    comps = components(near.mapInArrow(lambda batches: _join_blocks(batches, order.value), "a long, b long"))
+    comps = components(near.mapInArrow(settled(lambda batches: _join_blocks(batches, order.value)), "a long, b long"))
     comps = keep(comps, "comps")
     release(spark)
     rest = keep(_remaining(sets, comps, order), "rest")

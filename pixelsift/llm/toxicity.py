@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelsift.llm._store import keep
-from pixelsift.llm._text import mix
+from pixelsift.llm._text import mix, settled
 
 #: Labelled rows of each class that the classifier is fitted on, and bytes of their texts, at most.
 PER_CLASS = {0: 5000, 1: 1500}
@@ -300,7 +300,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(False))
     # the carried columns travel as one struct, so their names can't meet others
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), held.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    scored = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType())]))
+    scored = rows.mapInArrow(settled(run), T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType())]))
     return scored.select(*[F.col("row").getField(c).alias(c) for c in carried], "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -317,4 +317,4 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([x < 0.5 for x in own.score(batch.column(at).cast(pa.binary()).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(settled(run), docs.schema)

@@ -70,8 +70,9 @@ def shape_for(distinct: int, n_tokens: int) -> Shape:
 
 #: Words whose counts are broadcast, and slots of their table.
 KNOWN, SLOTS = 1 << 17, 1 << 19
-#: Bytes of text that one learner takes, at least, and rows of weights that are stepped at once (they stay in the cache).
-LEARNER_BYTES, AT_ONCE = 16 << 20, 512
+#: Bytes of text that one learner takes, at least, tokens whose trees are stepped at once, and uses of a row in an
+#: update that are summed one by one.
+LEARNER_BYTES, AT_ONCE, FEW = 16 << 20, 512, 24
 #: Distinct words that a task counts before it sends them; chunks that the weights are sent in.
 FLUSH, CHUNKS = 1_000_000, 64
 #: Bytes of text that are tokenised together.
@@ -227,7 +228,7 @@ def path(words: np.ndarray, target: np.ndarray, shape: Shape) -> tuple[np.ndarra
     leaf = (words >> np.uint64(64 - shape.levels)).astype(np.int64)[:, None]
     deep = np.arange(shape.levels)
     nodes = (target.astype(np.int64)[:, None] << shape.levels) + ((1 << deep) | (leaf >> (shape.levels - deep)))
-    return nodes, (leaf >> (shape.levels - 1 - deep)) & 1
+    return nodes, ((leaf >> (shape.levels - 1 - deep)) & 1).astype(np.int8)
 
 
 def cells(hashes: np.ndarray, nodes: np.ndarray, shape: Shape) -> np.ndarray:
@@ -238,8 +239,8 @@ def cells(hashes: np.ndarray, nodes: np.ndarray, shape: Shape) -> np.ndarray:
 
 def _right(tree: np.ndarray, base: np.ndarray, at: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Probability of the right branch at each node; never quite 0 or 1, so that every word keeps some."""
-    z = tree[at].sum(0)
-    z += base[nodes]
+    z = np.take(tree, at).sum(0)
+    z += np.take(base, nodes)
     np.clip(z, -15, 15, out=z)
     np.negative(z, out=z)
     np.exp(z, out=z)
@@ -281,37 +282,43 @@ class _Learner:
         np.negative(error, out=error)
         error[np.arange(len(target)), target] += 1
         error /= np.float32(len(target))
-        flat = rows.ravel()
+        self._step(np.zeros(1, np.int64), error.sum(0, keepdims=True), len(target))  # the first feature is every token's
+        flat = rows[:, 1:].ravel()
         order = np.argsort(flat, kind="stable")  # 16-bit integers: a radix sort
         flat = flat[order]
-        order //= FEATURES
+        order //= FEATURES - 1
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         n = np.diff(np.append(first, len(flat)))
-        one = n == 1  # most rows are met once; only the others are summed
-        alone = first[one]
-        for lo in range(0, len(alone), AT_ONCE):
-            own = alone[lo : lo + AT_ONCE]
-            self._step(flat[own], np.take(error, order[own], axis=0), 1)
-        more = n[~one]
-        if len(more):
-            summed = np.add.reduceat(np.take(error, order[np.repeat(~one, n)], axis=0), np.cumsum(more) - more, axis=0)
-            self._step(flat[first[~one]], summed, more)
+        by_use = np.argsort(-n, kind="stable")
+        first, n = first[by_use], n[by_use]
+        many = int(np.searchsorted(-n, -FEW))  # rows met more than FEW times come first
+        step = np.take(error, order[first], axis=0)
+        for k in range(1, min(FEW, int(n[0]))):
+            more = int(np.searchsorted(-n, -k))
+            step[many:more] += np.take(error, order[first[many:more] + k], axis=0)
+        if many:
+            at = np.repeat(first[:many] - (np.cumsum(n[:many]) - n[:many]), n[:many]) + np.arange(n[:many].sum())
+            step[:many] = np.add.reduceat(np.take(error, order[at], axis=0), np.cumsum(n[:many]) - n[:many], axis=0)
+        self._step(flat[first], step, n)
         for lo in range(0, len(words), AT_ONCE):
             part = slice(lo, lo + AT_ONCE)
             nodes, bits = path(words[part], target[part], self.shape)
             at = cells(hashes[:, part], nodes, self.shape)
-            miss = (bits - _right(self.tree, self.base, at, nodes)).astype(np.float32).ravel()
+            miss = (bits - _right(self.tree, self.base, at, nodes)).ravel()
             square = miss * miss
             miss *= np.float32(TREE_RATE)
             for own in at.reshape(TREE_FEATURES, -1):
                 np.add.at(self.bent, own, square)
-                np.add.at(self.tree, own, miss / np.sqrt(self.bent[own]))
+                size = np.sqrt(np.take(self.bent, own))
+                np.add.at(self.tree, own, np.divide(miss, size, out=size))
 
     def _step(self, row: np.ndarray, step: np.ndarray, n) -> None:
-        grown = self.grown[row] + np.einsum("ij,ij->i", step, step) / np.float32(CLASSES)
+        grown = np.take(self.grown, row)
+        grown += np.einsum("ij,ij->i", step, step) / np.float32(CLASSES)
         self.grown[row] = grown
         step *= (np.float32(RATE) / np.sqrt(grown))[:, None]
-        self.weights[row] += step
+        step += np.take(self.weights, row, axis=0)
+        self.weights[row] = step
         self.use[row] += n
 
     def changes(self):

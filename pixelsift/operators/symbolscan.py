@@ -1,7 +1,8 @@
 """Symbols in images: passes over packed images, hits as rows.
 
 The passes of an image run one after another and stop when something is found, unless the scan is deep: as it
-is, inverted, turned, then at another scale. Every image is one row of one Arrow batch, so a scan is a map.
+is, inverted, turned, then at another scale; a deep scan also tries three times the size and a threshold that
+follows the surroundings of each pixel. Every image is one row of one Arrow batch, so a scan is a map.
 Limits are numbers of passes, never seconds, so results don't depend on the machine.
 """
 
@@ -15,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pixelsift.model import HITS
-from pixelsift.operators import code128, qr
+from pixelsift.operators import bars, code128, qr
 
-FORMATS = ("QR_CODE", "CODE_128")
+FORMATS = ("QR_CODE", "CODE_128", *bars.FORMATS)
+#: Side of the squares whose mean is the threshold of their middle pixel.
+AROUND = 41
 
 
 @dataclass(frozen=True)
@@ -46,24 +49,37 @@ def _once(dark: np.ndarray, o: Options) -> list[tuple]:
     out: list[tuple] = []
     if "QR_CODE" in o.formats:
         out += [("QR_CODE", s.text, s.payload, s.points, s.append) for s in qr.locate(dark)]
-    if "CODE_128" in o.formats:
+    lines = tuple(f for f in o.formats if f in bars.FORMATS)
+    if "CODE_128" in o.formats or lines:
         rows = np.arange(len(dark)) if o.deep else np.unique(np.linspace(0, len(dark) - 1, o.rows + 2).astype(int)[1:-1])
         gap = max(12, 2 * int(np.diff(rows).max(initial=1)))
-        seen: list[list] = []  # text, first and last pixel, row it was last read in
+        seen: list[list] = []  # format and text, first and last pixel, row it was last read in
         got, last = [], None
         for y in rows.tolist():
             if last is None or not np.array_equal(dark[y], dark[last]):
-                got, last = code128.decode_all(dark[y]), y
-            for text, x0, x1 in got:
-                same = [f for f in seen if f[0] == text and f[1] < x1 and x0 < f[2] and y - f[3] <= gap]
+                got, last = [("CODE_128", *g) for g in code128.decode_all(dark[y])] if "CODE_128" in o.formats else [], y
+                got += bars.decode_all(dark[y], lines) if lines else []
+            for kind, text, x0, x1 in got:
+                same = [f for f in seen if f[0] == (kind, text) and f[1] < x1 and x0 < f[2] and y - f[3] <= gap]
                 if same:
                     same[0][1:] = x0, x1, y
                 else:
-                    seen.append([text, x0, x1, y])
-                    out.append(("CODE_128", text, None, [(float(x0), float(y)), (float(x1), float(y))], None))
+                    seen.append([(kind, text), x0, x1, y])
+                    out.append((kind, text, None, [(float(x0), float(y)), (float(x1), float(y))], None))
     return out
 
 
+def _uneven(grey: np.ndarray) -> np.ndarray:
+    """Pixels darker than the mean of the square around them, by a margin; for pictures with uneven light."""
+    h, w = grey.shape
+    total = np.zeros((h + 1, w + 1), np.int64)
+    np.cumsum(np.cumsum(grey, 0), 1, out=total[1:, 1:])
+    y0, y1 = (np.clip(np.arange(h) + k, 0, h) for k in (-(AROUND // 2), AROUND // 2 + 1))
+    x0, x1 = (np.clip(np.arange(w) + k, 0, w) for k in (-(AROUND // 2), AROUND // 2 + 1))
+    inside = total[y1][:, x1] - total[y0][:, x1] - total[y1][:, x0] + total[y0][:, x0]
+    return (grey + 8) * ((y1 - y0)[:, None] * (x1 - x0)) < inside
+
+
 def _back(x: float, y: float, turns: int, w: int, h: int) -> tuple[float, float]:
     """A point of the picture after quarter turns, in the picture before them."""
     return {0: (x, y), 1: (w - 1 - y, x), 2: (w - 1 - x, h - 1 - y), 3: (y, h - 1 - x)}[turns]
@@ -95,6 +111,10 @@ def scan_image(argb: np.ndarray, o: Options = Options()) -> list[tuple]:
             add(_once(np.repeat(np.repeat(dark, 2, 0), 2, 1), o), 0, False, 2.0)
         elif max(h, w) > 2600:
             add(_once(dark[::2, ::2], o), 0, False, 0.5)
+    if o.deep:
+        if o.rescale and max(h, w) < 400:
+            add(_once(np.repeat(np.repeat(dark, 3, 0), 3, 1), o), 0, False, 3.0)
+        add(_once(_uneven(grey), o), 0, False)
     return found
 
 

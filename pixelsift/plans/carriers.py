@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelsift.model import PACKED
-from pixelsift.operators import code128, qr
+from pixelsift.operators import bars, code128, qr
 
 #: Width of the carrier images made of ``events`` and ``orders``.
 EVENTS_WIDTH, ORDERS_WIDTH = 100, 120
@@ -90,13 +90,14 @@ def stego_px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawn_symbols(texts: DataFrame, kind: str) -> DataFrame:
-    """Packed images of QR or Code 128 symbols for rows of (image_id, text)."""
+    """Packed images of symbols for rows of (image_id, text): QR ("qr"), Code 128 ("bars") or a format of ``bars``."""
 
     def run(batches):
         for batch in batches:
             w, h, px = [], [], []
             for text in batch.column(1).to_pylist():
-                dark = np.pad(qr.encode(text.encode()), 4) if kind == "qr" else np.tile(np.pad(code128.encode(text), 10), (30, 1))
+                line = None if kind == "qr" else code128.encode(text) if kind == "bars" else bars.encode(kind, text)
+                dark = np.pad(qr.encode(text.encode()), 4) if line is None else np.tile(np.pad(line, 10), (30, 1))
                 dark = np.repeat(np.repeat(dark, 3, 0), 3, 1)
                 h.append(dark.shape[0])
                 w.append(dark.shape[1])

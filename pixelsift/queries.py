@@ -299,6 +299,27 @@ def _drawn(spark: SparkSession, sf_dir: str, name: str, key: str, text: str, kin
 
 _add("qr_decode", lambda s, d: _drawn(s, d, "supplier", "s_suppkey", "s_name", "qr"), "SELECT CAST(s_suppkey AS VARCHAR) AS image_id, 'QR_CODE' AS format, s_name AS text FROM supplier")
 _add("code128_decode", lambda s, d: _drawn(s, d, "nation", "n_nationkey", "n_name", "bars"), "SELECT CAST(n_nationkey AS VARCHAR) AS image_id, 'CODE_128' AS format, n_name AS text FROM nation")
+
+
+def _drawn_bars(spark: SparkSession, sf_dir: str, kind: str, text: str) -> DataFrame:
+    rows = C.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("image_id"), F.expr(text).alias("text"))
+    return symbolscan.scan(C.drawn_symbols(rows, kind)).select("image_id", "format", "text")
+
+
+def _checked(number: str, size: int) -> str:
+    """The check digit of a number of so many digits, in SQL."""
+    weighted = f"[CAST(({number})[i] AS INTEGER) * CASE WHEN ({size} - i) % 2 = 0 THEN 3 ELSE 1 END for i in range(1, {size + 1})]"
+    return f"CAST((1000 - list_sum({weighted})) % 10 AS VARCHAR)"
+
+
+_KEY = "lpad('' || s_suppkey, {}, '0')"
+# what is drawn, and what is read beyond it, by format
+for _kind, _text, _read in (
+    ("EAN_13", "'4' || " + _KEY.format(11), "{t} || " + _checked("{t}", 12)), ("EAN_8", _KEY.format(7), "{t} || " + _checked("{t}", 7)),
+    ("UPC_A", _KEY.format(11), "{t} || " + _checked("{t}", 11)), ("UPC_E", "'0' || " + _KEY.format(5) + " || '7'", "{t} || " + _checked("'0' || ({t})[2:6] || '00007'", 11)),
+    ("CODE_39", "replace(upper(s_name), '#', '-')", "{t}"), ("ITF", _KEY.format(8), "{t}"), ("CODABAR", "'A' || s_suppkey || '-$' || s_nationkey || 'B'", "({t})[2:-2]"),
+):
+    _add(f"bars_{_kind.lower()}", lambda s, d, k=_kind, t=_text: _drawn_bars(s, d, k, t), f"SELECT CAST(s_suppkey AS VARCHAR) AS image_id, '{_kind}' AS format, {_read.replace('{t}', f'({_text})')} AS text FROM supplier")
 _add(
     "region_algebra",
     lambda s, d: C.table(s, d, "nation").select("n_nationkey", *[regions.intersect(regions.region(F.col("n_nationkey"), 3, 9, F.col("n_regionkey") + 2), regions.region(5, F.col("n_regionkey"), 11, 7))[f].alias(f) for f in ("x", "y", "width", "height")]),

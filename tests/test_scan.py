@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelsift.functions import regions
+from pixelsift.operators import bars as others
 from pixelsift.operators import code128, qr, symbols, symbolscan
 
 
@@ -87,6 +88,36 @@ def test_low_bars_and_bars_side_by_side():
     assert sorted(h[1] for h in symbolscan.scan_image(canvas, symbolscan.THOROUGH)) == ["left", "low", "right"]
 
 
+@pytest.mark.parametrize("kind", others.FORMATS)
+def test_other_bars(kind):
+    rng = random.Random(kind)
+    for _ in range(40):
+        number = "".join(rng.choice("0123456789") for _ in range(12))
+        text, want = {
+            "EAN_13": (t := str(rng.randint(1, 9)) + number[:11], t + others.check_digit(t)), "EAN_8": (number[:7], number[:7] + others.check_digit(number[:7])), "UPC_A": (number[:11], number[:11] + others.check_digit(number[:11])),
+            "UPC_E": (t := rng.choice("01") + number[:6], t + others.check_digit(others.widened(t))), "CODE_39": ("A-1 $/+%." + number, "A-1 $/+%." + number), "ITF": (number, number), "CODABAR": ("C" + number + "-$:/.+D", number + "-$:/.+"),
+        }[kind]
+        row = np.repeat(others.encode(kind, text), rng.randint(1, 4))
+        assert [g[:2] for g in others.decode_all(row)] == [(kind, want)]
+        assert others.decode_all(np.concatenate([row, row]), (kind,))[1][1] == want
+    picture = np.where(np.tile(np.repeat(others.encode(kind, text), 3), (60, 1)), np.uint32(0xFF000000), np.uint32(0xFFFFFFFF))
+    assert [h[:2] for h in symbolscan.scan_image(np.rot90(picture).copy())] == [(kind, want)]
+
+
+def test_noise_holds_no_bars():
+    assert [others.decode_all(np.random.default_rng(k).random(400) < 0.5) for k in range(300)] == [[]] * 300
+
+
+def test_uneven_light():
+    """A shadow that is darker than other parts' bars: only the threshold by surroundings reads it, in deep scans."""
+    picture = draw(qr.encode(b"in the shade", 1, "L"), 3)
+    light = np.linspace(0.15, 1, picture.shape[1])
+    grey = np.where(picture == 0xFFFFFFFF, 255 * light, 120 * light).astype(np.uint32)
+    shaded = np.uint32(0xFF000000) | grey << np.uint32(16) | grey << np.uint32(8) | grey
+    assert symbolscan.scan_image(shaded) == []
+    assert [h[2] for h in symbolscan.scan_image(shaded, symbolscan.THOROUGH)] == [b"in the shade"]
+
+
 def test_sequence_through_spark(spark):
     parity = 77
     rows = [(f"i{k}", draw(qr.encode(p, 3, "L", append=(k, 3, parity)))) for k, p in enumerate((b"one ", b"two ", b"three"))]

@@ -289,6 +289,17 @@ for _kind, _value in (("png", "argb"), ("bmp", f"CAST({_OPAQUE} + {_over('red',
     _add(f"round_trip_{_kind}", lambda s, d, k=_kind: images.to_long(images.read_images(_files(s, d, k)).withColumnRenamed("path", "image_id")).select("x", "y", "argb"), f"SELECT x, y, {_value} AS argb FROM {C.EVENTS_SQL}")
 
 
+def _round_trip(spark: SparkSession, sf_dir: str, kind: str, mask: int) -> DataFrame:
+    px = C.events_px(spark, sf_dir).withColumn("argb", F.col("argb").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(~mask & 0xFF000000)))
+    files = writers.encoded(images.to_packed(px), kind).select(F.col("image_id").alias("path"), "content")
+    return images.to_long(images.read_images(files).withColumnRenamed("path", "image_id")).select("x", "y", "argb")
+
+
+# TIFF keeps all bits; of GIF, 64 opaque colours
+_add("round_trip_tiff", lambda s, d: _round_trip(s, d, "tiff", 0xFFFFFFFF), f"SELECT x, y, argb FROM {C.EVENTS_SQL}")
+_add("round_trip_gif", lambda s, d: _round_trip(s, d, "gif", 0x00C0C0C0), f"SELECT x, y, CAST((argb & {0x00C0C0C0}) | {0xFF000000} AS BIGINT) AS argb FROM {C.EVENTS_SQL}")
+
+
 # -- decoding -----------------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,5 @@
-"""Image files to pixels and back, in numpy: PNG, BMP and GIF; JPEG by way of Spark's own image source.
+"""Image files to pixels and back, in numpy: PNG, BMP, GIF, TIFF and sequential JPEG; other JPEG files by way of Spark's
+own image source.
 
 Headers are read before anything is decoded, so an image that declares too many pixels costs nothing. One
 file is one row; frames of a GIF are rows of their own, as stored (nothing is composed).
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelsift.functions import jpeg
 from pixelsift.model import MAX_PIXELS
 from pixelsift.sources.structure import image_format
 
@@ -220,8 +222,8 @@ def _lzw(data: bytes, size: int, want: int) -> np.ndarray:
     return np.frombuffer((b"".join(out) + bytes(want))[:want], np.uint8)
 
 
-def gif_frames(d: bytes) -> list[Image]:
-    """The stored image of every frame."""
+def gif_frames(d: bytes, first: int = 0, count: int | None = None) -> list[Image]:
+    """The stored images of ``count`` frames (all) from ``first`` on; others are passed over."""
     flags, at, common = d[10], 13, None
     check_size(int.from_bytes(d[6:8], "little"), int.from_bytes(d[8:10], "little"))
 
@@ -233,8 +235,8 @@ def gif_frames(d: bytes) -> list[Image]:
         n = 2 << (flags & 7)
         common = table(at, n)
         at += 3 * n
-    frames, clear = [], None
-    while at < len(d) and d[at] != 0x3B:
+    frames, clear, no = [], None, -1
+    while at < len(d) and d[at] != 0x3B and (count is None or len(frames) < count):
         if d[at] == 0x21:
             if d[at + 1] == 0xF9:
                 clear = d[at + 6] if d[at + 3] & 1 else None
@@ -258,6 +260,10 @@ def gif_frames(d: bytes) -> list[Image]:
                 parts.append(d[at + 1 : at + 1 + d[at]])
                 at += 1 + d[at]
             at += 1
+            no += 1
+            if no < first:
+                clear = None
+                continue
             index = np.minimum(_lzw(b"".join(parts), size, w * h), len(colours) - 1).reshape(h, w)
             if f & 0x40:
                 order = [y for start, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(start, h, step)]
@@ -272,14 +278,99 @@ def gif_frames(d: bytes) -> list[Image]:
         else:
             break
     if not frames:
-        raise ValueError("no frame")
+        raise ValueError(f"no frame {first}" if first else "no frame")
     return frames
 
 
-def decode(data: bytes) -> list[Image]:
+def decode_jpeg(d: bytes) -> Image:
+    levels = jpeg.decode(d, check_size).astype(np.uint32)
+    if levels.shape[2] == 1:
+        levels = gray_to_srgb()[levels]
+    return Image(_pack(255, levels[:, :, 0], levels[:, :, levels.shape[2] // 2], levels[:, :, -1]), False)
+
+
+def _unpacked_bits(d: bytes) -> bytes:
+    """Runs of bytes (PackBits) as they were."""
+    out, at = bytearray(), 0
+    while at + 1 < len(d):
+        n, at = d[at], at + 1
+        if n < 128:
+            out += d[at : at + n + 1]
+            at += n + 1
+        elif n > 128:
+            out += d[at : at + 1] * (257 - n)
+            at += 1
+    return bytes(out)
+
+
+def tiff_frames(d: bytes, first: int = 0, count: int | None = None) -> list[Image]:
+    """Pages in strips of 8-bit samples (gray, RGB, palette, with or without alpha), plain, deflated or as PackBits."""
+    end = "<" if d[:2] == b"II" else ">"
+    (at,) = struct.unpack_from(end + "I", d, 4)
+    pages, seen, no = [], set(), 0
+    while at and at not in seen and (count is None or len(pages) < count):
+        seen.add(at)
+        (n,) = struct.unpack_from(end + "H", d, at)
+        tags: dict[int, tuple] = {}
+        for i in range(n):
+            tag, kind, many, _ = struct.unpack_from(end + "HHII", d, at + 2 + 12 * i)
+            letter = {1: "B", 3: "H", 4: "I"}.get(kind)
+            if letter:
+                place = at + 10 + 12 * i
+                if struct.calcsize(letter) * many > 4:
+                    (place,) = struct.unpack_from(end + "I", d, place)
+                if place + struct.calcsize(letter) * many > len(d):
+                    raise ValueError("the pixel data is cut off")
+                tags[tag] = struct.unpack_from(f"{end}{many}{letter}", d, place)
+        (at,) = struct.unpack_from(end + "I", d, at + 2 + 12 * n)
+        no += 1
+        if no > first:
+            pages.append(_tiff_page(d, tags, end))
+    if not pages:
+        raise ValueError(f"no frame {first}" if first else "no frame")
+    return pages
+
+
+def _tiff_page(d: bytes, tags: dict[int, tuple], end: str) -> Image:
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    w, h, samples, method, colour = one(256, 0), one(257, 0), one(277, 1), one(259, 1), one(262, 1)
+    check_size(w, h)
+    if set(tags.get(258, (1,))) != {8} or 273 not in tags or one(284, 1) != 1 or colour not in (0, 1, 2, 3) or samples < (3 if colour == 2 else 1):
+        raise ValueError("only TIFF strips of 8-bit samples, gray, RGB or palette, are decoded")
+    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked_bits}.get(method)
+    if unpack is None:
+        raise ValueError(f"compression {method} isn't decoded")
+    raw = b"".join(unpack(d[a : a + n]) for a, n in zip(tags[273], tags[279], strict=True))
+    if len(raw) < w * h * samples:
+        raise ValueError("the pixel data is cut off")
+    px = np.frombuffer(raw, np.uint8, w * h * samples).reshape(h, w, samples)
+    if one(317, 1) == 2:
+        px = np.cumsum(px, 1, dtype=np.uint64).astype(np.uint8)
+    elif one(317, 1) != 1:
+        raise ValueError("an unknown predictor")
+    extra = samples - (3 if colour == 2 else 1)
+    alpha = px[:, :, -extra] if extra and one(338, 0) in (1, 2) else None
+    if colour == 3:
+        table = np.array(tags[320]).reshape(3, -1) >> 8
+        palette, index = _pack(255, *table), px[:, :, 0]
+        return Image(palette[index], False, index.copy(), palette)
+    if colour < 2:
+        gray = gray_to_srgb()[px[:, :, 0] if colour else 255 - px[:, :, 0]]
+        return Image(_pack(255 if alpha is None else alpha, gray, gray, gray), alpha is not None)
+    return Image(_pack(255 if alpha is None else alpha, px[:, :, 0], px[:, :, 1], px[:, :, 2]), alpha is not None)
+
+
+def decode(data: bytes, first: int = 0, count: int | None = None) -> list[Image]:
+    """``count`` frames (all) from ``first`` on; a file without frame ``first`` is an error."""
     kind = image_format(data)
     if kind == "GIF":
-        return gif_frames(data)
+        return gif_frames(data, first, count)
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return tiff_frames(data, first, count)
+    if first and kind in ("PNG", "BMP", "JPEG"):
+        raise ValueError(f"no frame {first}")
+    if kind == "JPEG":
+        return [decode_jpeg(data)]
     if kind == "PNG":
         return [decode_png(data)]
     if kind == "BMP":
@@ -287,8 +378,11 @@ def decode(data: bytes) -> list[Image]:
     raise ValueError(f"format {kind} isn't decoded here")
 
 
-def read_images(files: DataFrame) -> DataFrame:
-    """Packed frames of a ``binaryFile`` DataFrame; what can't be decoded is a row with an error."""
+def read_images(files: DataFrame, first: int = 0, count: int | None = None) -> DataFrame:
+    """Packed frames of a ``binaryFile`` DataFrame, ``count`` of each file (all) from ``first`` on; what can't be decoded, or
+    has no such frame, is a row with an error."""
+    if first < 0 or (count is not None and count < 1):
+        raise ValueError("frames are counted from 0, and at least one is read")
 
     def run(batches: Iterable[pa.RecordBatch]):
         names = ["path", "frame", "width", "height", "has_alpha", "pixels", "indices", "palette", "error"]
@@ -296,10 +390,10 @@ def read_images(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    frames = decode(data)
-                    rows = [(path, i, f.argb.shape[1], f.argb.shape[0], f.has_alpha, f.argb.astype(">u4").tobytes(), None if f.indices is None else f.indices.tobytes(), None if f.palette is None else f.palette.astype(np.int64).tolist(), None) for i, f in enumerate(frames)]
+                    frames = decode(data, first, count)
+                    rows = [(path, first + i, f.argb.shape[1], f.argb.shape[0], f.has_alpha, f.argb.astype(">u4").tobytes(), None if f.indices is None else f.indices.tobytes(), None if f.palette is None else f.palette.astype(np.int64).tolist(), None) for i, f in enumerate(frames)]
                 except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
-                    rows = [(path, 0, None, None, None, None, None, None, str(e))]
+                    rows = [(path, first, None, None, None, None, None, None, str(e))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return files.select("path", "content").mapInArrow(run, DECODED)

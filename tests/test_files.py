@@ -55,7 +55,7 @@ def test_reports(argb):
 
 def test_fuzz(argb):
     rng = random.Random(2)
-    for whole in (writers.encode_png(argb, True), writers.encode_bmp(argb), gif(), jpeg()):
+    for whole in (writers.encode_png(argb, True), writers.encode_bmp(argb), gif(), jpeg(), writers.encode_tiff(argb, True), writers.encode_jpeg(argb)):
         for n in range(0, len(whole), 3):
             structure.analyse(whole[:n])
             structure.analyse(whole[:n] + rng.randbytes(20))
@@ -64,7 +64,7 @@ def test_fuzz(argb):
             structure.analyse(odd)
             try:
                 images.decode(odd)
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error):
+            except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error):
                 pass
     assert len(structure.analyse(b"GIF89a" + bytes([255] * 7) + rng.randbytes(400_000))) <= structure.MOST
 
@@ -76,9 +76,58 @@ def test_round_trips(argb):
     assert (images.decode_bmp(writers.encode_bmp(opaque)).argb == opaque).all()
 
 
+@pytest.fixture
+def noise():
+    """A picture whose GIF fills the table of words several times over."""
+    rng = np.random.default_rng(5)
+    index = np.where(rng.random((300, 200)) < 0.6, rng.integers(0, 200, (300, 200)), 7)
+    return (0xFF000000 | index * 0x010203 & 0xFFFFFF).astype(np.uint32)
+
+
+def test_more_writers(argb, noise):
+    (page,) = images.decode(writers.encode(argb, True, "tiff"))
+    assert (page.argb == argb).all() and page.has_alpha
+    (page,) = images.decode(writers.encode(argb, False, "tiff"))
+    assert (page.argb == (argb | np.uint32(0xFF000000))).all()
+    (frame,) = images.decode(writers.encode(noise, False, "gif"))
+    assert (frame.argb == noise).all()
+    see_through = noise & np.uint32(0x7FFFFFFF)
+    see_through[0] = noise[0]
+    (frame,) = images.decode(writers.encode(see_through, True, "gif"))
+    assert (frame.argb[0] == noise[0]).all() and (frame.argb[1:] >> 24 == 0).all()
+    y, x = np.mgrid[:120, :150].astype(np.uint32)
+    many = np.uint32(0xFF000000) | (x + 90) << np.uint32(16) | (y * 2) << np.uint32(8) | (x * 7 + y * 5) % 256
+    channels = lambda v: np.stack([(v >> np.uint32(s)) & 255 for s in (16, 8, 0)]).astype(int)
+    assert np.abs(channels(images.decode(writers.encode(many, False, "gif"))[0].argb) - channels(many)).max() <= 26
+    for quality, most in ((100, 3), (75, 40)):
+        assert np.abs(channels(images.decode(writers.encode_jpeg(noise if quality == 100 else many & np.uint32(0xFFFFFF00), quality))[0].argb) - channels(noise if quality == 100 else many & np.uint32(0xFFFFFF00))).max() <= most
+    with pytest.raises(ValueError):
+        writers.encode(argb, True, "webp")
+    assert [writers.format_of(f"x.{e}") for e in writers.WRITABLE] == ["png", "bmp", "jpeg", "gif", "tiff"]
+
+
+def test_another_reader_agrees(spark, noise, tmp_path):
+    """What is written here is read alike by Spark's image source."""
+    rows = [(f"n.{e}", 200, 300, False, noise.astype(">u4").tobytes()) for e in ("jpg", "gif", "tif")]
+    for row in rows:
+        packed = spark.createDataFrame([row], "image_id string, width int, height int, has_alpha boolean, pixels binary")
+        writers.write_files(writers.encoded(packed, writers.format_of(row[0])), str(tmp_path), "image_id")
+    own = {r.path[-3:]: bytes(r.pixels) for r in images.read_images(structure.read_files(spark, str(tmp_path), "n.*")).collect()}
+    other = {r.image_id[-3:]: bytes(r.pixels) for r in images.read_jpegs(spark, str(tmp_path)).collect()}
+    assert own["gif"] == other["gif"] == own["tif"] == other["tif"] == noise.astype(">u4").tobytes()
+    # transforms may round one level apart, which the colour conversion makes 1 + 1.772 of blue
+    assert np.abs(np.frombuffer(own["jpg"], np.uint8).astype(int) - np.frombuffer(other["jpg"], np.uint8)).max() <= 3
+    with pytest.raises(ValueError, match="2 rows"):
+        writers.write_files(spark.createDataFrame([("a/n.gif", b"1"), ("b/n.gif", b"2")], "name string, content binary"), str(tmp_path))
+
+
 def test_gif_frames():
     frames = images.gif_frames(gif())
     assert len(frames) == 2 and frames[0].argb[0, 0] == 0xFFFF0000 and frames[1].argb[0, 0] == 0xFF0000FF
+    assert [f.argb[0, 0] for f in images.gif_frames(gif(), 1, 1)] == [0xFF0000FF] and len(images.gif_frames(gif(), 0, 1)) == 1
+    for data in (gif(), writers.encode_png(frames[0].argb, False)):
+        with pytest.raises(ValueError, match="no frame 2"):
+            images.decode(data, 2)
     with pytest.raises(ValueError):
         images.decode(b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b",")
 

@@ -105,28 +105,37 @@ def same_symbol_pairs(hits: DataFrame) -> DataFrame:
 
 
 def deduplicate(hits: DataFrame) -> DataFrame:
-    """One report per symbol, in order of hit_no: a located report replaces one that isn't, a longer payload a shorter one.
+    """One report per symbol, in order of hit_no: a report is dropped for an earlier one of its content that is kept and near.
 
-    "Same symbol" isn't transitive, so the result depends on the order and reports with one content are folded one by one;
-    the fold runs per image and content, never over a whole image or table.
+    Reports without content all stay. Those that aren't located (or have no place) stay only if none of their image and
+    content is, and then the first does. "Near" isn't transitive, so located reports of one content are taken in
+    order; of those at one place only the first can stay, so the order is walked over distinct places and their
+    hit_no alone. Kept places are more than :data:`NEAR` apart, so each looks at the few in the cells around it.
     """
-    schema = hits.schema
-    keyed = content_key(hits)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for row in pdf.sort_values("hit_no").to_dict("records"):
-            for i, old in enumerate(kept):
-                if row["content"] and (not row["located"] or not old["located"] or math.hypot(row["bx"] - old["bx"], row["by"] - old["by"]) <= NEAR):
-                    longer = len(row["payload"] or b"") > len(old["payload"] or b"")
-                    if (row["located"] and not old["located"]) or (row["located"] == old["located"] and longer):
-                        kept[i] = row
-                    break
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=[*schema.names, "content"])[schema.names]
-
-    return keyed.groupBy("image_id", "content", "format", "text", "append_index", "append_total", "append_parity").applyInPandas(fold, schema)
+    names = hits.columns
+    group = ["image_id", "content", "format", "text", "append_index", "append_total", "append_parity"]
+    placed = F.coalesce(F.col("located"), F.lit(False)) & F.col("bx").isNotNull() & F.col("by").isNotNull()
+    keyed = content_key(hits).withColumn("_placed", placed)
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    some = keyed.where("content != ''")
+    places = some.groupBy(*group, "_placed", F.when(placed, F.col("bx")).alias("_x"), F.when(placed, F.col("by")).alias("_y")).agg(F.min_by(row, "hit_no").alias("_row"), F.min("hit_no").alias("_no"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        located = pdf[pdf["_placed"]].sort_values(["_no", "_x", "_y"])
+        if located.empty:
+            return pdf[["_row"]]
+        cells: dict = {}
+        stay = []
+        for x, y in zip(located["_x"].tolist(), located["_y"].tolist(), strict=True):
+            cx, cy = math.floor(x / NEAR), math.floor(y / NEAR)
+            around = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in cells.get((cx + i, cy + j), ()))
+            stay.append(all(math.hypot(x - a, y - b) > NEAR for a, b in around))
+            if stay[-1]:
+                cells.setdefault((cx, cy), []).append((x, y))
+        return located.loc[stay, ["_row"]]
+
+    kept = places.groupBy(*group).applyInPandas(walk, places.select("_row").schema)
+    return kept.select("_row.*").unionByName(keyed.where("content = ''").select(*names))
 
 
 def bounding_box(points: DataFrame, width: str = "width", height: str = "height") -> DataFrame:

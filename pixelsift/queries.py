@@ -275,7 +275,14 @@ _add(
     "hit_pairs", lambda s, d: symbols.same_symbol_pairs(C.hits(s, d)),
     f'WITH h AS (SELECT * FROM {C.HITS_SQL}) SELECT a.image_id, a.hit_no AS "first", b.hit_no AS "second" FROM h a JOIN h b ON a.image_id = b.image_id AND a.text = b.text AND a.hit_no < b.hit_no WHERE a.text <> \'\' AND (NOT a.located OR NOT b.located OR sqrt((a.bx - b.bx) ** 2 + (a.by_ - b.by_) ** 2) <= 12)',
 )
-_add("hit_dedupe", lambda s, d: symbols.deduplicate(C.hits(s, d)).select("image_id", "hit_no", "text", "located"))
+_FOLDED = "list_reduce(list([p] ORDER BY p.hit_no), lambda kept, one: CASE WHEN len(list_filter(kept, lambda k: sqrt((k.bx - one[1].bx) ** 2 + (k.by_ - one[1].by_) ** 2) <= 12)) > 0 THEN kept ELSE kept || one END)"
+_add(
+    "hit_dedupe", lambda s, d: symbols.deduplicate(C.hits(s, d)).select("image_id", "hit_no", "text", "located"),
+    f"WITH h AS (SELECT * FROM {C.HITS_SQL} WHERE text <> ''), p AS (SELECT image_id, text, {{'hit_no': hit_no, 'bx': bx, 'by_': by_}} AS p FROM h WHERE located), "
+    f"f AS (SELECT image_id, text, unnest({_FOLDED}) AS k FROM p GROUP BY image_id, text) SELECT image_id, k.hit_no AS hit_no, text, true AS located FROM f "
+    "UNION ALL SELECT image_id, min(hit_no), text, false FROM h GROUP BY image_id, text HAVING NOT bool_or(located) UNION ALL "
+    f"SELECT image_id, hit_no, text, located FROM {C.HITS_SQL} WHERE coalesce(text, '') = ''",
+)
 
 # -- files --------------------------------------------------------------------------------------------------
 

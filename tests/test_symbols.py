@@ -1,5 +1,8 @@
 """Sequences and duplicate reports."""
 
+import math
+import random
+
 from pixelsift.model import HITS
 from pixelsift.operators import symbols
 
@@ -31,7 +34,25 @@ def test_duplicates(spark):
     assert pairs == {(0, 1), (0, 2), (0, 3), (1, 2)}
 
 
-def test_longer_payload_wins(spark):
+def test_duplicates_by_brute_force(spark):
+    """Every report against all that were kept before it, one by one."""
+    rng = random.Random(3)
+    rows = [hit(k, rng.choice("ab"), located=rng.random() < 0.8, x=float(rng.randrange(60)), y=rng.randrange(120) / 2) for k in range(400)]
+    rows += [hit(500, "c", located=False), hit(501, "c", located=False), hit(502, "d", x=None), hit(503, ""), hit(504, "")]
+    kept: list = []
+    for r in rows:
+        same = [k for k in kept if r[3] and k[3] == r[3] and (not r[5] or not k[5] or r[6] is None or math.hypot(r[6] - k[6], r[7] - k[7]) <= 12)]
+        if not same:
+            kept.append(r)
+        elif r[5] and not same[0][5]:
+            kept[kept.index(same[0])] = r
+    got = symbols.deduplicate(spark.createDataFrame(rows, HITS).repartition(5))
+    assert got.columns == spark.createDataFrame([], HITS).columns
+    assert sorted(r.hit_no for r in got.collect()) == sorted(k[1] for k in kept)
+    assert symbols.deduplicate(spark.createDataFrame([], HITS)).collect() == []
+
+
+def test_equal_payloads_are_one(spark):
     rows = [hit(0, "t", b"x"), hit(1, "t", b"x"), hit(2, "v", b"long")]
     assert sorted(r.hit_no for r in symbols.deduplicate(spark.createDataFrame(rows, HITS)).collect()) == [0, 2]
 

@@ -1,4 +1,4 @@
-"""QR symbols of versions 1 to 10 in numpy: encoding (for tests and fixtures), locating and decoding.
+"""QR symbols of versions 1 to 40 in numpy: encoding (for tests and fixtures), locating and decoding.
 
 A symbol is located by its three finder patterns, in any turn and at any scale; modules are sampled
 through the affine map they define. Payload bytes, text and raw codewords are kept apart.
@@ -10,15 +10,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-# Fixed values, versions 1 to 10: check codewords of a block, and blocks, by level of error correction.
-_CHECKS = {"L": (7, 10, 15, 20, 26, 18, 20, 24, 30, 18), "M": (10, 16, 26, 18, 24, 16, 18, 22, 22, 26), "Q": (13, 22, 18, 26, 18, 24, 18, 22, 20, 24), "H": (17, 28, 22, 16, 22, 28, 26, 26, 24, 28)}
-_BLOCKS = {"L": (1, 1, 1, 1, 1, 2, 2, 2, 2, 4), "M": (1, 1, 1, 2, 2, 4, 4, 4, 5, 5), "Q": (1, 1, 2, 2, 4, 4, 6, 6, 8, 8), "H": (1, 1, 2, 4, 4, 4, 5, 6, 8, 8)}
+# Fixed values, versions 1 to 40: check codewords of a block, by level of error correction.
+_CHECKS = {
+    "L": (7, 10, 15, 20, 26, 18, 20, 24, 30, 18, 20, 24, 26, 30, 22, 24, 28, 30, 28, 28, 28, 28, 30, 30, 26, 28, *[30] * 14),
+    "M": (10, 16, 26, 18, 24, 16, 18, 22, 22, 26, 30, 22, 22, 24, 24, 28, 28, 26, 26, 26, 26, *[28] * 19),
+    "Q": (13, 22, 18, 26, 18, 24, 18, 22, 20, 24, 28, 26, 24, 20, 30, 24, 28, 28, 26, 30, 28, 30, 30, 30, 30, 28, *[30] * 14),
+    "H": (17, 28, 22, 16, 22, 28, 26, 26, 24, 28, 24, 28, 22, 24, 24, 30, 28, 28, 26, 28, 30, 24, *[30] * 18),
+}
+# Fixed values, versions 1 to 40: blocks, by level of error correction.
+_BLOCKS = {
+    "L": (1, 1, 1, 1, 1, 2, 2, 2, 2, 4, 4, 4, 4, 4, 6, 6, 6, 6, 7, 8, 8, 9, 9, 10, 12, 12, 12, 13, 14, 15, 16, 17, 18, 19, 19, 20, 21, 22, 24, 25),
+    "M": (1, 1, 1, 2, 2, 4, 4, 4, 5, 5, 5, 8, 9, 9, 10, 10, 11, 13, 14, 16, 17, 17, 18, 20, 21, 23, 25, 26, 28, 29, 31, 33, 35, 37, 38, 40, 43, 45, 47, 49),
+    "Q": (1, 1, 2, 2, 4, 4, 6, 6, 8, 8, 8, 10, 12, 16, 12, 17, 16, 18, 21, 20, 23, 23, 25, 27, 29, 34, 34, 35, 38, 40, 43, 45, 48, 51, 53, 56, 59, 62, 65, 68),
+    "H": (1, 1, 2, 4, 4, 4, 5, 6, 8, 8, 11, 11, 16, 16, 18, 16, 19, 21, 25, 25, 25, 34, 30, 32, 35, 37, 40, 42, 45, 48, 51, 54, 57, 60, 63, 66, 70, 74, 77, 81),
+}
 # Two bits of each level, characters of the alphanumeric mode.
 _LEVEL_BITS = {"L": 1, "M": 0, "Q": 3, "H": 2}
 _ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ $%*+-./:"
-MOST = 10
-#: Module sizes between two finder patterns of a symbol, at most: 50 in the largest version, and as module sizes are measured along rows, more when turned.
-REACH = 80
+MOST = 40
+#: Module sizes between two finder patterns of a symbol, at most: 170 in the largest version, and as module sizes are measured along rows, more when turned.
+REACH = 260
 
 _EXP = [1]
 while len(_EXP) < 255:
@@ -105,7 +116,7 @@ def _centres(version: int) -> list[int]:
     if version == 1:
         return []
     marks = version // 7 + 2
-    step = (version * 4 + marks * 2 + 1) // (marks * 2 - 2) * 2
+    step = (version * 8 + marks * 3 + 5) // (marks * 4 - 4) * 2
     return [6, *reversed([version * 4 + 10 - i * step for i in range(marks - 1)])]
 
 
@@ -264,7 +275,7 @@ def _read(data: bytes, version: int, level: str) -> Symbol:
         at += n
         return int(bits[at - n : at] or "0", 2)
 
-    wide, text, segments, append = version > 9, [], [], None
+    wide, text, segments, append = (version > 9) + (version > 26), [], [], None
     while len(bits) - at >= 4:
         mode = take(4)
         if mode == 0:
@@ -275,10 +286,10 @@ def _read(data: bytes, version: int, level: str) -> Symbol:
             first = take(8)
             take(0 if first < 128 else 8 if first < 192 else 16)
         elif mode == 1:
-            n = take(12 if wide else 10)
+            n = take(10 + 2 * wide)
             text.append("".join(f"{take({3: 10, 2: 7, 1: 4}[k]):0{k}d}" for k in [3] * (n // 3) + [n % 3] * (n % 3 > 0)))
         elif mode == 2:
-            n = take(11 if wide else 9)
+            n = take(9 + 2 * wide)
             text.append("".join(_ALNUM[(v := take(11)) // 45] + _ALNUM[v % 45] for _ in range(n // 2)) + (_ALNUM[take(6)] if n % 2 else ""))
         elif mode == 4:
             segment = bytes(take(8) for _ in range(take(16 if wide else 8)))
@@ -288,7 +299,7 @@ def _read(data: bytes, version: int, level: str) -> Symbol:
             except UnicodeDecodeError:
                 text.append(segment.decode("latin-1"))
         elif mode == 8:
-            pairs = [take(13) for _ in range(take(10 if wide else 8))]
+            pairs = [take(13) for _ in range(take(8 + 2 * wide))]
             codes = [(p // 0xC0 << 8 | p % 0xC0) for p in pairs]
             text.append(b"".join((c + (0x8140 if c + 0x8140 <= 0x9FFC else 0xC140)).to_bytes(2, "big") for c in codes).decode("shift_jis", "replace"))
         elif mode not in (5, 9):
@@ -351,7 +362,7 @@ def locate(dark: np.ndarray, most: int = 32) -> list[Symbol]:
             continue
         unit = sum(finders[i][2] for i in three) / 3
         guess = (length / 2 / unit + 7 - 17) / 4
-        for version in sorted(range(1, MOST + 1), key=lambda v: abs(v - guess))[:3]:
+        for version in sorted(range(1, MOST + 1), key=lambda v: abs(v - guess))[: 3 + max(0, int(guess) // 6)]:  # the larger, the less exact is the guess
             n = 17 + 4 * version
             origin, ux, uy = np.array(finders[corner][:2]), right / (n - 7), down / (n - 7)
             place = np.arange(n) - 3
@@ -360,8 +371,12 @@ def locate(dark: np.ndarray, most: int = 32) -> list[Symbol]:
             xi, yi = np.floor(px).astype(int), np.floor(py).astype(int)
             if xi.min() < 0 or yi.min() < 0 or xi.max() >= dark.shape[1] or yi.max() >= dark.shape[0]:
                 continue
+            modules = dark[yi, xi]
+            timing = np.concatenate([modules[6, 8:-8], modules[8:-8, 6]])
+            if (timing == np.tile(np.arange(n - 16) % 2 == 0, 2)).mean() < 0.75:  # more wrong than any correction allows
+                continue
             try:
-                symbol = decode_modules(dark[yi, xi])
+                symbol = decode_modules(modules)
             except (ValueError, KeyError, IndexError):
                 continue
             symbol.points = [tuple(map(float, p)) for p in (origin + down, origin, origin + right)]

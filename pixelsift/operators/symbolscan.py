@@ -45,10 +45,10 @@ def luminance(argb: np.ndarray) -> np.ndarray:
 
 
 def _once(dark: np.ndarray, o: Options) -> list[tuple]:
-    """(format, text, payload, points, append) of one pass."""
+    """(format, text, payload, points, append, (raw codewords, byte segments, version, level)) of one pass; bars have no last part."""
     out: list[tuple] = []
     if "QR_CODE" in o.formats:
-        out += [("QR_CODE", s.text, s.payload, s.points, s.append) for s in qr.locate(dark)]
+        out += [("QR_CODE", s.text, s.payload, s.points, s.append, (s.raw, s.segments, s.version, s.level)) for s in qr.locate(dark)]
     lines = tuple(f for f in o.formats if f in bars.FORMATS)
     if "CODE_128" in o.formats or lines:
         rows = np.arange(len(dark)) if o.deep else np.unique(np.linspace(0, len(dark) - 1, o.rows + 2).astype(int)[1:-1])
@@ -65,7 +65,7 @@ def _once(dark: np.ndarray, o: Options) -> list[tuple]:
                     same[0][1:] = x0, x1, y
                 else:
                     seen.append([(kind, text), x0, x1, y])
-                    out.append((kind, text, None, [(float(x0), float(y)), (float(x1), float(y))], None))
+                    out.append((kind, text, None, [(float(x0), float(y)), (float(x1), float(y))], None, None))
     return out
 
 
@@ -86,19 +86,19 @@ def _back(x: float, y: float, turns: int, w: int, h: int) -> tuple[float, float]
 
 
 def scan_image(argb: np.ndarray, o: Options = Options()) -> list[tuple]:
-    """Hits of one image: (format, text, payload, points in the image, append, turns, inverted)."""
+    """Hits of one image: (format, text, payload, points in the image, append, turns, inverted, the rest of :func:`_once`)."""
     grey = luminance(argb)
     dark = grey < (int(grey.min()) + int(grey.max()) + 1) // 2 if grey.min() < grey.max() else np.zeros_like(grey, bool)
     h, w = dark.shape
     found: list[tuple] = []
 
     def add(hits: list[tuple], turns: int, inverted: bool, scale: float = 1.0) -> None:
-        for kind, text, payload, points, append in hits:
+        for kind, text, payload, points, append, more in hits:
             there = [_back(x, y, turns, round(w * scale), round(h * scale)) for x, y in points]
             there = [(x / scale, y / scale) for x, y in there]
             same = [f for f in found if f[:3] == (kind, text, payload) and f[4] == append and np.hypot(f[3][0][0] - there[0][0], f[3][0][1] - there[0][1]) <= 12]
             if not same:
-                found.append((kind, text, payload, there, append, turns, inverted))
+                found.append((kind, text, payload, there, append, turns, inverted, more))
 
     add(_once(dark, o), 0, False)
     if o.inverted and (o.deep or not found):
@@ -118,17 +118,29 @@ def scan_image(argb: np.ndarray, o: Options = Options()) -> list[tuple]:
     return found
 
 
+#: What a scan adds to a hit: how the picture was seen, and what a QR symbol holds besides payload and text.
+SEEN = "rotation int, inverted boolean, points array<struct<x: double, y: double>>, raw binary, segments array<binary>, version int, level string"
+
+
 def scan(images: DataFrame, options: Options = Options()) -> DataFrame:
-    """Hits of packed images, in the layout of :data:`~pixelsift.model.HITS`, with ``rotation`` (degrees) and ``inverted``."""
+    """Hits of packed images, in the layout of :data:`~pixelsift.model.HITS`, with the columns of :data:`SEEN`: ``rotation`` in
+    degrees, ``points`` of the symbol in the image, and of QR symbols the codewords after correction (``raw``), the byte
+    ``segments`` that make up the payload, ``version`` and ``level``."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        schema = pa.schema([("image_id", pa.string()), ("hit_no", pa.int32()), ("format", pa.string()), ("text", pa.string()), ("payload", pa.binary()), ("located", pa.bool_()), ("bx", pa.float64()), ("by", pa.float64()), *[(f"append_{n}", pa.int32()) for n in ("index", "total", "parity")], ("rotation", pa.int32()), ("inverted", pa.bool_())])
+        point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        schema = pa.schema([
+            ("image_id", pa.string()), ("hit_no", pa.int32()), ("format", pa.string()), ("text", pa.string()), ("payload", pa.binary()), ("located", pa.bool_()), ("bx", pa.float64()), ("by", pa.float64()),
+            *[(f"append_{n}", pa.int32()) for n in ("index", "total", "parity")], ("rotation", pa.int32()), ("inverted", pa.bool_()),
+            ("points", point), ("raw", pa.binary()), ("segments", pa.list_(pa.binary())), ("version", pa.int32()), ("level", pa.string()),
+        ])
         for batch in batches:
             for image, w, h, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 rows = []
-                for no, (kind, text, payload, points, append, turns, inverted) in enumerate(scan_image(np.frombuffer(data, ">u4").astype(np.uint32).reshape(h, w), options)):
-                    rows.append(dict(zip(schema.names, (image, no, kind, text, payload, True, min(x for x, _ in points), min(y for _, y in points), *(append or (None, None, None)), 90 * turns, inverted), strict=True)))
+                for no, (kind, text, payload, points, append, turns, inverted, more) in enumerate(scan_image(np.frombuffer(data, ">u4").astype(np.uint32).reshape(h, w), options)):
+                    corner, places = (min(x for x, _ in points), min(y for _, y in points)), [{"x": x, "y": y} for x, y in points]
+                    rows.append(dict(zip(schema.names, (image, no, kind, text, payload, True, *corner, *(append or (None,) * 3), 90 * turns, inverted, places, *(more or (None,) * 4)), strict=True)))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, HITS + ", rotation int, inverted boolean")
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, f"{HITS}, {SEEN}")

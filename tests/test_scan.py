@@ -30,7 +30,7 @@ def test_correction():
         assert qr.rs_decode(code, checks) == data
 
 
-@pytest.mark.parametrize("version", range(1, 11))
+@pytest.mark.parametrize("version", [*range(1, 11), 14, 21, 26, 27, 32, 36, 40])
 def test_modules(version):
     for level in "LMQH":
         data = bytes(random.Random(version).randbytes(5 * version))
@@ -38,6 +38,25 @@ def test_modules(version):
         assert (got.payload, got.version, got.level) == (data, version, level)
 
 
+def test_tables():
+    """Known capacities, and marks that are evenly spaced (only the first gap may differ)."""
+    for level, words in zip("LMQH", (2956, 2334, 1666, 1276), strict=True):
+        assert qr._raw_words(40) - qr._CHECKS[level][39] * qr._BLOCKS[level][39] == words
+    for level in "LMQH":
+        room = [qr._raw_words(v) - c * b for v, c, b in zip(range(1, 41), qr._CHECKS[level], qr._BLOCKS[level], strict=True)]
+        assert room == sorted(set(room))
+    assert qr._centres(32) == [6, 34, 60, 86, 112, 138] and qr._centres(40) == [6, 30, 58, 86, 114, 142, 170] and qr._centres(36) == [6, 24, 50, 76, 102, 128, 154]
+
+
+@pytest.mark.parametrize("version", [12, 19, 28, 40])
+def test_large_symbols(version):
+    data = random.Random(version).randbytes(15 * version)
+    picture = draw(qr.encode(data, version, "Q"), 3)
+    for k in (0, 1):
+        (hit,) = symbolscan.scan_image(np.rot90(picture, k).copy(), symbolscan.QUICK)
+        assert hit[2] == data and hit[7][1:] == ([data], version, "Q") and hit[7][0]
+
+
 def test_all_bytes_and_turns():
     data = bytes(range(256))
     picture = draw(qr.encode(data, level="L"))
@@ -122,7 +141,11 @@ def test_sequence_through_spark(spark):
     parity = 77
     rows = [(f"i{k}", draw(qr.encode(p, 3, "L", append=(k, 3, parity)))) for k, p in enumerate((b"one ", b"two ", b"three"))]
     images = spark.createDataFrame([(n, p.shape[1], p.shape[0], False, p.astype(">u4").tobytes()) for n, p in rows], "image_id string, width int, height int, has_alpha boolean, pixels binary")
-    merged = symbols.merge_parts(symbolscan.scan(images)).first()
+    hits = symbolscan.scan(images)
+    seen = hits.orderBy("image_id").first()
+    assert [bytes(x) for x in seen.segments] == [b"one "] and seen.version == 3 and seen.level == "L" and seen.rotation == 0 and len(seen.points) == 3 and bytes(seen.raw)
+    assert symbols.deduplicate(hits).count() == 3
+    merged = symbols.merge_parts(hits).first()
     assert merged.complete and bytes(merged.payload) == b"one two three"
 
 

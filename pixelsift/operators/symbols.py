@@ -96,12 +96,22 @@ def content_key(df: DataFrame) -> DataFrame:
 
 def same_symbol_pairs(hits: DataFrame) -> DataFrame:
     """(image_id, first, second) of reports that describe one symbol: equal format, text, content and sequence, and near
-    each other, unless one of them isn't located. An equi-join on the content; distance is a residual condition."""
-    keyed = content_key(hits).where("content != ''").withColumn("_k", F.xxhash64("format", "text", "content", "append_index", "append_total", "append_parity"))
-    a, b = (keyed.select("image_id", "_k", "format", "content", F.col("text").alias(f"text_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("hit_no", "located", "bx", "by")]) for s in "ab")
-    near = F.hypot(F.col("bx_a") - F.col("bx_b"), F.col("by_a") - F.col("by_b")) <= NEAR
-    both = a.join(b, ["image_id", "_k", "format", "content"])
-    return both.where((F.col("hit_no_a") < F.col("hit_no_b")) & F.col("text_a").eqNullSafe(F.col("text_b")) & (~F.col("located_a") | ~F.col("located_b") | near)).select("image_id", F.col("hit_no_a").alias("first"), F.col("hit_no_b").alias("second"))
+    each other, unless one of them isn't located.
+
+    Located reports meet those in the cells around their own only; one that isn't located is a pair with every other
+    of its content, so that join makes nothing but results."""
+    key = F.xxhash64("format", "text", "content", "append_index", "append_total", "append_parity")
+    cell = lambda c: F.floor(F.col(c) / NEAR)
+    keyed = content_key(hits).where("content != ''").select("image_id", key.alias("_k"), "format", "content", F.coalesce("text", F.lit("\0")).alias("_t"), "hit_no", "located", "bx", "by")
+    on = ["image_id", "_k", "format", "content", "_t"]
+    one, other = (keyed.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in ("hit_no", "located", "bx", "by")]) for s in "ab")
+    here = one.where("located_a").withColumn("_cx", cell("bx_a")).withColumn("_cy", cell("by_a"))
+    ways = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    around = other.where("located_b").withColumn("_w", ways).withColumn("_cx", cell("bx_b") + F.col("_w.x")).withColumn("_cy", cell("by_b") + F.col("_w.y"))
+    near = here.join(around, [*on, "_cx", "_cy"]).where((F.col("hit_no_a") < F.col("hit_no_b")) & (F.hypot(F.col("bx_a") - F.col("bx_b"), F.col("by_a") - F.col("by_b")) <= NEAR))
+    loose = one.where("NOT located_a").join(other, on).where("located_b OR hit_no_a < hit_no_b").where("hit_no_a != hit_no_b")
+    pair = [F.least("hit_no_a", "hit_no_b").alias("first"), F.greatest("hit_no_a", "hit_no_b").alias("second")]
+    return near.select("image_id", *pair).unionByName(loose.select("image_id", *pair))
 
 
 def deduplicate(hits: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Automatic search for hidden payloads: every configuration on every image, classified, ranked.
 
 Images are packed, one row each; the extraction of all configurations runs in one Arrow batch per image and
-emits the bounded prefixes, which are then classified by column expressions like any payload. Duplicates are
-found by content. Long images don't shuffle: only prefixes do, at most :data:`PREFIX` bytes a candidate.
+emits prefixes, bounded unless asked for whole, which are then classified by column expressions like any payload. Duplicates
+are found by content. Long images don't shuffle: only what was extracted does, at most :data:`PREFIX` bytes a candidate by default.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ def unpack(width: int, height: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, ">u4").astype(np.uint32).reshape(height, width)
 
 
-def candidates(images: DataFrame, configs: list[Config] | None = None, deep: bool = False, max_bytes: int = PREFIX) -> DataFrame:
+def candidates(images: DataFrame, configs: list[Config] | None = None, deep: bool = False, max_bytes: int | None = PREFIX) -> DataFrame:
     """(image_id, opt_idx, data, total_bytes, truncated) for each image and configuration.
 
-    Without ``configs`` each image gets the fast or deep list, longer if it has alpha."""
+    Without ``configs`` each image gets the fast or deep list, longer if it has alpha. With ``max_bytes`` None extracts
+    are whole, and leave one by one."""
+    at_once = 1 if max_bytes is None else _AT_ONCE
 
     def run(batches: Iterable[pa.RecordBatch]):
         lists = {a: configs or (deep_configs(a) if deep else fast_configs(a)) for a in (False, True)}
@@ -46,8 +48,8 @@ def candidates(images: DataFrame, configs: list[Config] | None = None, deep: boo
             for i in range(batch.num_rows):
                 image, w, h, alpha, data = (batch.column(k)[i].as_py() for k in range(5))
                 argb, todo = unpack(w, h, data), lists[bool(alpha)]
-                for lo in range(0, len(todo), _AT_ONCE):
-                    got = [extract_packed(argb, c, max_bytes) for c in todo[lo : lo + _AT_ONCE]]
+                for lo in range(0, len(todo), at_once):
+                    got = [extract_packed(argb, c, max_bytes) for c in todo[lo : lo + at_once]]
                     n = len(got)
                     yield pa.RecordBatch.from_arrays([pa.array([image] * n, pa.string()), pa.array(range(lo, lo + n), pa.int32()), pa.array([d for d, _ in got], pa.binary()), pa.array([t for _, t in got], pa.int64()), pa.array([len(d) < t for d, t in got])], names=names)
 
@@ -69,7 +71,7 @@ def ranked(found: DataFrame) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order)).drop("_key", "_n", "_first")
 
 
-def scan(images: DataFrame, deep: bool = False, configs: list[Config] | None = None, max_bytes: int = PREFIX) -> DataFrame:
+def scan(images: DataFrame, deep: bool = False, configs: list[Config] | None = None, max_bytes: int | None = PREFIX) -> DataFrame:
     return ranked(candidates(images, configs, deep, max_bytes))
 
 

@@ -245,7 +245,7 @@ _FEW = [X.config("R", [0], lsb_first=True), X.config("RGB", [0], lsb_first=True)
 _PRINTABLE = "len(list_filter(regexp_extract_all(h, '..'), lambda v: v BETWEEN '20' AND '7E'))"
 _SEEN = "array_to_string(list_transform(regexp_extract_all(h[1:32768], '..'), lambda v: CASE WHEN v BETWEEN '20' AND '7E' THEN decode(from_hex(v)) ELSE chr(1) END), '')"
 _add(
-    "lsb_scan_few", lambda s, d: lsbscan.scan(images.to_packed(C.stego_px(s, d)), configs=_FEW).select("rank", "opt_idx", "score", "sha256", "total_bytes"),
+    "lsb_scan_few", lambda s, d: lsbscan.scan(images.to_packed(C.stego_px(s, d)), configs=_FEW, max_bytes=None).select("rank", "opt_idx", "score", "sha256", "total_bytes"),
     "WITH c AS (" + " UNION ALL ".join(f"SELECT {i} AS opt_idx, h FROM ({_extract_hex(c)})" for i, c in enumerate(_FEW)) + "), "
     "v AS (SELECT opt_idx, unnest(regexp_extract_all(h, '..')) AS v, length(h) / 2 AS n FROM c), k AS (SELECT opt_idx, v, n, count(*) AS k FROM v GROUP BY ALL), e AS (SELECT opt_idx, -sum(k / n * log2(k / n)) AS ent, count(*) AS dist FROM k GROUP BY 1), "
     f"q AS (SELECT opt_idx, h, {_PRINTABLE} / (length(h) / 2) AS printable, regexp_matches({_SEEN}, '(?i)(flag|ctf|steg|key|secret|pico|htb|thm)[{{][\\x20-\\x7E]{{1,128}}?[}}]') AS flagged FROM c), "

@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsift.model import PACKED
 from pixelsift.operators import bars, code128, qr
 
 #: Width of the carrier images made of ``events`` and ``orders``.
@@ -89,22 +88,39 @@ def stego_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.withColumn("argb", argb)
 
 
-def drawn_symbols(texts: DataFrame, kind: str) -> DataFrame:
-    """Packed images of symbols for rows of (image_id, text): QR ("qr"), Code 128 ("bars") or a format of ``bars``."""
+#: Bytes of drawn pictures in one batch on their way back, about.
+_DRAWN = 4 << 20
+
+
+def drawing(kind: str):
+    """A function from batches of (image_id, text) to batches of packed images, of a few megabytes each. The symbols are QR
+    ("qr"), Code 128 ("bars") or of a format of ``bars``."""
+
+    def packed(made):
+        ids, w, h, px = zip(*made, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array([False] * len(w)), pa.array(px, pa.binary())], names=["image_id", "width", "height", "has_alpha", "pixels"])
 
     def run(batches):
         for batch in batches:
-            w, h, px = [], [], []
-            for text in batch.column(1).to_pylist():
+            made, size = [], 0
+            for image, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 line = None if kind == "qr" else code128.encode(text) if kind == "bars" else bars.encode(kind, text)
                 dark = np.pad(qr.encode(text.encode()), 4) if line is None else np.tile(np.pad(line, 10), (30, 1))
                 dark = np.repeat(np.repeat(dark, 3, 0), 3, 1)
-                h.append(dark.shape[0])
-                w.append(dark.shape[1])
-                px.append(np.where(dark, 0xFF000000, 0xFFFFFFFF).astype(">u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array([False] * len(w)), pa.array(px, pa.binary())], names=["image_id", "width", "height", "has_alpha", "pixels"])
+                made.append((image, dark.shape[1], dark.shape[0], np.where(dark, 0xFF000000, 0xFFFFFFFF).astype(">u4").tobytes()))
+                size += 4 * dark.size
+                if size >= _DRAWN:
+                    yield packed(made)
+                    made, size = [], 0
+            if made:
+                yield packed(made)
+
+    return run
+
 
-    return texts.select("image_id", "text").mapInArrow(run, PACKED)
+def dealt(texts: DataFrame) -> DataFrame:
+    """Rows of (image_id, text) dealt over tasks: a small file of short texts, one task by itself, makes many large pictures."""
+    return texts.select("image_id", "text").repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "image_id")
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,7 +312,7 @@ _add("round_trip_gif", lambda s, d: _round_trip(s, d, "gif", 0x00C0C0C0), f"SELE
 
 def _drawn(spark: SparkSession, sf_dir: str, name: str, key: str, text: str, kind: str) -> DataFrame:
     rows = C.table(spark, sf_dir, name).select(F.col(key).cast("string").alias("image_id"), F.col(text).alias("text"))
-    return symbolscan.scan(C.drawn_symbols(rows, kind)).select("image_id", "format", "text")
+    return symbolscan.scan_made(C.dealt(rows), C.drawing(kind)).select("image_id", "format", "text")
 
 
 _add("qr_decode", lambda s, d: _drawn(s, d, "supplier", "s_suppkey", "s_name", "qr"), "SELECT CAST(s_suppkey AS VARCHAR) AS image_id, 'QR_CODE' AS format, s_name AS text FROM supplier")
@@ -321,7 +321,7 @@ _add("code128_decode", lambda s, d: _drawn(s, d, "nation", "n_nationkey", "n_nam
 
 def _drawn_bars(spark: SparkSession, sf_dir: str, kind: str, text: str) -> DataFrame:
     rows = C.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("image_id"), F.expr(text).alias("text"))
-    return symbolscan.scan(C.drawn_symbols(rows, kind)).select("image_id", "format", "text")
+    return symbolscan.scan_made(C.dealt(rows), C.drawing(kind)).select("image_id", "format", "text")
 
 
 def _checked(number: str, size: int) -> str:

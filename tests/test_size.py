@@ -4,8 +4,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from pixelsift import queries
+from pixelsift.operators import symbolscan
+from pixelsift.plans import carriers
 
 
 def test_a_search_by_sql_reads_whole_extracts(spark, tmp_path):
@@ -18,3 +21,21 @@ def test_a_search_by_sql_reads_whole_extracts(spark, tmp_path):
     want = con.execute(queries.oracle_sql()["lsb_scan_few"]).fetchall()
     assert max(r.total_bytes for r in got) > 64 << 10
     assert sorted((r["rank"], r.opt_idx, r.score, r.sha256, r.total_bytes) for r in got) == sorted(want)
+
+
+def test_pictures_leave_in_small_batches():
+    texts = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(60)]), pa.array([f"SUPPLIER-{k:09d}" for k in range(60)])], names=["image_id", "text"])
+    made = list(carriers.drawing("CODE_39")([texts]))
+    assert len(made) > 1 and max(b.nbytes for b in made) < 2 * carriers._DRAWN
+    assert [x for b in made for x in b.column("image_id").to_pylist()] == texts.column(0).to_pylist()
+    assert sum(b.num_rows for b in symbolscan.hits(made)) == 60
+
+
+@pytest.mark.parametrize("name", ["bars_ean_13", "bars_ean_8", "bars_upc_a", "bars_itf", "bars_codabar", "bars_code_39"])
+def test_bars_are_drawn_and_read_in_many_tasks(spark, tmp_path, name):
+    """One small file of suppliers doesn't leave all its pictures to one task, and none of them passes through the JVM."""
+    pq.write_table(pa.table({"s_suppkey": np.arange(300), "s_name": [f"Supplier#{k:09d}" for k in range(300)], "s_nationkey": pa.array(np.arange(300) % 25, pa.int32())}), tmp_path / "supplier.parquet")
+    df = queries.queries()[name](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert df.count() == 300

@@ -34,11 +34,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of a step's inputs for each task that writes its result, at least.
+TASK_BYTES = 4 << 20
+
+
+def fewer(df: DataFrame) -> DataFrame:
+    """``df`` in no more tasks than its inputs are worth: one for each :data:`TASK_BYTES` of them, and two for each core.
+
+    Small tables that were dealt over hundreds of tasks are hundreds of files otherwise, and each file costs the
+    committer several calls, on a local file system processes too: its permissions are set by a command. Nothing moves;
+    a task takes several partitions one after another. Large steps and those of unknown size stay as they are."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(size // TASK_BYTES, 1 << 20)))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that survives
     lost executors, whose columns stay prunable and whose size the planner knows."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    fewer(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelsift.llm._store import keep, release
+from pixelsift.llm._store import fewer, keep, release
 from pixelsift.llm.mixing import word_count
 
 #: A repeated run of fewer words stays.
@@ -109,7 +109,7 @@ def delete_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: words left, and the SHA-256 of the text that is left."""
     left = delete_repeated_runs(docs.select(id_col, text_col), id_col, text_col)
-    return left.select(F.col(id_col), word_count(F.col(text_col)).alias("kept_words"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"))
+    return fewer(left).select(F.col(id_col), word_count(F.col(text_col)).alias("kept_words"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"))
 
 
 ORACLE = r"""

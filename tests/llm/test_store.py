@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pixelsift.llm import _store
+from pixelsift.llm import _store, line_dedup
 
 
 def test_small_steps_write_few_files(spark, tmp_path):
@@ -22,3 +22,16 @@ def test_large_or_unknown_steps_keep_their_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     unknown = spark.createDataFrame(spark.sparkContext.parallelize([(k,) for k in range(100)], 40), "id long")
     assert _store.fewer(unknown).rdd.getNumPartitions() == 40
+
+
+def test_reports_are_few_files(spark, docs, tmp_path):
+    docs(*[(k, f"{k} " * 60) for k in range(50)]).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        line_dedup.report(spark.read.parquet(f"{tmp_path}/docs")).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == 50 and len(out.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism

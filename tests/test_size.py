@@ -39,3 +39,16 @@ def test_bars_are_drawn_and_read_in_many_tasks(spark, tmp_path, name):
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert df.count() == 300
+
+
+@pytest.mark.parametrize("kind", ["EAN_8", "ITF", "UPC_A"])
+def test_bars_cost_one_row_and_leave_together(monkeypatch, kind):
+    """Of rows that equal their neighbours one is worked out, no column of such a picture is searched, and hits share a batch."""
+    looked = []
+    luminance = symbolscan.luminance
+    monkeypatch.setattr(symbolscan, "luminance", lambda argb: looked.append(len(argb)) or luminance(argb))
+    texts = [f"{k:0{ {'EAN_8': 7, 'ITF': 8, 'UPC_A': 11}[kind] }d}" for k in range(100)]
+    rows = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(100)]), pa.array(texts)], names=["image_id", "text"])
+    (found,) = symbolscan.hits(carriers.drawing(kind)([rows]))
+    assert looked == [1] * 100
+    assert [t[: len(s)] for t, s in zip(found.column("text").to_pylist(), texts)] == texts

@@ -86,7 +86,11 @@ _PUNCTUATION[[ord(c) for c in ".,;:!?"]] = True
 
 def tokens(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Hash and ending type of each token; the last one is the end."""
-    norm = normalise(text)
+    return _tokens(normalise(text))
+
+
+def _tokens(norm: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a normalised text."""
     at = bounds(norm)
     words = np.append(spans(norm, 1, at), END)
     kinds = np.full(len(words), END_TYPE, np.int64)
@@ -104,7 +108,7 @@ def tokens(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 def many(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of several texts, one after the other: hashes, ending types, and how many each text has."""
     norms = [normalise(t) for t in texts]
-    words, kinds = tokens(b" ".join(n for n in norms if n))
+    words, kinds = _tokens(b" ".join(n for n in norms if n))
     n = np.array([x.count(b" ") + 1 if x else 0 for x in norms], np.int64)
     ends = np.cumsum(n)
     return np.insert(words[:-1], ends, END), np.insert(kinds[:-1], ends, END_TYPE), n + 1
@@ -131,8 +135,11 @@ def _counter(batches):
 
     def send():
         words, kinds = (np.concatenate(x) for x in zip(*held, strict=True))
-        word, first, n = np.unique(words, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(kinds[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "kind", "n"])
+        coded = pa.array(words.view(np.int64)).dictionary_encode()
+        which = coded.indices.to_numpy()
+        kind = np.empty(len(coded.dictionary), np.int32)
+        kind[which] = kinds  # equal words have equal endings
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(kind), pa.array(np.bincount(which))], names=["word", "kind", "n"])
 
     for batch in batches:
         for part in groups(batch.column(0).to_pylist()):
@@ -214,33 +221,48 @@ def features(words: np.ndarray, kinds: np.ndarray, classes: np.ndarray, shape: S
     return rows, np.stack([mix(w1), mix(two + np.uint64(1)), mix(w2 + np.uint64(2))])
 
 
+def _sums(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The weights of each token's features summed, less the largest: classes by tokens, as numpy is fast along long rows."""
+    at = rows[:, 1:].T.astype(np.intp)
+    z = np.take(weights, at[0], axis=0, mode="clip")
+    more = np.empty_like(z)
+    for row in at[1:]:
+        z += np.take(weights, row, axis=0, out=more, mode="clip")  # all rows are inside; other modes copy once more
+    z += weights[0]  # the first feature is every token's
+    z = np.ascontiguousarray(z.T)
+    z -= z.max(0)
+    return z
+
+
 def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log-probabilities of all classes for each token."""
-    z = np.take(weights, rows[:, 0], axis=0)
-    for k in range(1, FEATURES):
-        z += np.take(weights, rows[:, k], axis=0)
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    z = _sums(weights, rows)
+    return (z - np.log(np.exp(z).sum(0))).T
 
 
 def path(words: np.ndarray, target: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes from the root of each word's class to its leaf, and which branch (0, 1) is taken at each."""
-    leaf = (words >> np.uint64(64 - shape.levels)).astype(np.int64)[:, None]
-    deep = np.arange(shape.levels)
-    nodes = (target.astype(np.int64)[:, None] << shape.levels) + ((1 << deep) | (leaf >> (shape.levels - deep)))
-    return nodes, ((leaf >> (shape.levels - 1 - deep)) & 1).astype(np.int8)
+    """The nodes from the root of each word's class to its leaf, level by level, and which branch (0, 1) is taken at each."""
+    leaf = (words >> np.uint64(64 - shape.levels)).view(np.int64)
+    deep = np.arange(shape.levels)[:, None]
+    heap = (leaf | (1 << shape.levels)) >> (shape.levels - deep)
+    bits = (leaf >> (shape.levels - 1 - deep)) & 1
+    heap += target.astype(np.int64) << shape.levels
+    return heap, bits
 
 
 def cells(hashes: np.ndarray, nodes: np.ndarray, shape: Shape) -> np.ndarray:
-    """Cells of tree weights for (feature, token, level)."""
-    at = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (((hashes[:, :, None] + at) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - shape.cells)).view(np.int64)
+    """Cells of tree weights for (feature, level, token)."""
+    at = nodes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 * 0xD1342543DE82EF95 % (1 << 64))
+    at = (hashes * np.uint64(0xD1342543DE82EF95))[:, None] + at
+    at >>= np.uint64(64 - shape.cells)
+    return at.view(np.int64)
 
 
 def _right(tree: np.ndarray, base: np.ndarray, at: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Probability of the right branch at each node; never quite 0 or 1, so that every word keeps some."""
-    z = np.take(tree, at).sum(0)
-    z += np.take(base, nodes)
+    z = np.take(base, nodes, mode="clip")
+    for own in np.take(tree, at, mode="clip"):
+        z += own
     np.clip(z, -15, 15, out=z)
     np.negative(z, out=z)
     np.exp(z, out=z)
@@ -251,7 +273,8 @@ def _right(tree: np.ndarray, base: np.ndarray, at: np.ndarray, nodes: np.ndarray
 def log_steps(tree: np.ndarray, base: np.ndarray, hashes: np.ndarray, nodes: np.ndarray, bits: np.ndarray, shape: Shape) -> np.ndarray:
     """Log-probability of each word's leaf within its class."""
     right = _right(tree, base, cells(hashes, nodes, shape), nodes)
-    return np.log(np.where(bits == 1, right, 1 - right).astype(np.float64).clip(1e-30)).sum(1)
+    # a step is likelier than 1e-7, so the product of ten stays far above the least float
+    return np.log(np.abs((1 - bits) - right.astype(np.float64)).prod(0))
 
 
 def masses(counts: np.ndarray, distinct: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -271,25 +294,26 @@ class _Learner:
     """AdaGrad on copies of the shared weights."""
 
     def __init__(self, start: tuple, base: np.ndarray, shape: Shape):
-        self.start, self.base, self.shape = start, base, shape
-        self.weights, self.tree = (x.copy() for x in start)
+        # arrays that come by a broadcast have a data type object of their own, and by that numpy's ``add.at`` is 20 times slower
+        self.start, self.base, self.shape = start, base.view(np.float32), shape
+        self.weights, self.tree = (x.astype(np.float32) for x in start)
         self.grown, self.use = np.full(len(self.weights), 1e-6, np.float32), np.zeros(len(self.weights), np.float32)
         self.bent = np.ones(len(self.tree), np.float32)
 
     def update(self, words: np.ndarray, rows: np.ndarray, hashes: np.ndarray, target: np.ndarray) -> None:
-        error = log_classes(self.weights, rows)
+        error = _sums(self.weights, rows)
         np.exp(error, out=error)
-        np.negative(error, out=error)
-        error[np.arange(len(target)), target] += 1
-        error /= np.float32(len(target))
-        self._step(np.zeros(1, np.int64), error.sum(0, keepdims=True), len(target))  # the first feature is every token's
+        error *= np.float32(-1 / len(target)) / error.sum(0)
+        error[target, np.arange(len(target))] += np.float32(1 / len(target))
+        self._step(np.zeros(1, np.int64), error.sum(1)[None], len(target))  # the first feature is every token's
+        error = np.ascontiguousarray(error.T)
         flat = rows[:, 1:].ravel()
         order = np.argsort(flat, kind="stable")  # 16-bit integers: a radix sort
         flat = flat[order]
         order //= FEATURES - 1
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         n = np.diff(np.append(first, len(flat)))
-        by_use = np.argsort(-n, kind="stable")
+        by_use = np.argsort((len(flat) - n).astype(np.uint16), kind="stable")  # 16 bits again: at most BATCH * 7
         first, n = first[by_use], n[by_use]
         many = int(np.searchsorted(-n, -FEW))  # rows met more than FEW times come first
         step = np.take(error, order[first], axis=0)
@@ -304,21 +328,24 @@ class _Learner:
             part = slice(lo, lo + AT_ONCE)
             nodes, bits = path(words[part], target[part], self.shape)
             at = cells(hashes[:, part], nodes, self.shape)
-            miss = (bits - _right(self.tree, self.base, at, nodes)).ravel()
+            miss = np.subtract(bits, _right(self.tree, self.base, at, nodes), dtype=np.float32).ravel()
             square = miss * miss
             miss *= np.float32(TREE_RATE)
             for own in at.reshape(TREE_FEATURES, -1):
                 np.add.at(self.bent, own, square)
-                size = np.sqrt(np.take(self.bent, own))
+                size = np.take(self.bent, own, mode="clip")
+                np.sqrt(size, out=size)
                 np.add.at(self.tree, own, np.divide(miss, size, out=size))
 
     def _step(self, row: np.ndarray, step: np.ndarray, n) -> None:
+        row = row.astype(np.intp)
         grown = np.take(self.grown, row)
         grown += np.einsum("ij,ij->i", step, step) / np.float32(CLASSES)
         self.grown[row] = grown
         step *= (np.float32(RATE) / np.sqrt(grown))[:, None]
-        step += np.take(self.weights, row, axis=0)
-        self.weights[row] = step
+        step += np.take(self.weights, row, axis=0, mode="clip")
+        whole = np.dtype((np.void, step[0].nbytes))  # a row as one value is stored at once
+        self.weights.view(whole).reshape(-1)[row] = step.view(whole).reshape(-1)
         self.use[row] += n
 
     def changes(self):
@@ -426,7 +453,9 @@ class Model(NamedTuple):
             part = slice(lo, lo + BATCH)
             t, w = target[part], words[part]
             nodes, bits = path(w, t, self.shape)
-            out[part] = log_classes(self.weights, rows[part])[np.arange(len(t)), t] + log_steps(self.tree, self.base, hashes[:, part], nodes, bits, self.shape)
+            z = _sums(self.weights, rows[part])
+            out[part] = z[t, np.arange(len(t))] + log_steps(self.tree, self.base, hashes[:, part], nodes, bits, self.shape)
+            out[part] -= np.log(np.exp(z, out=z).sum(0))
             out[part] -= np.log(self.mass[(t << self.shape.levels) + (w >> np.uint64(64 - self.shape.levels)).astype(np.int64)])
         return out / np.log(10)
 

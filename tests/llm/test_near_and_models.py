@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 import zlib
@@ -384,3 +385,18 @@ def test_toxicity_is_fitted_on_whole_texts(spark, docs, monkeypatch):
     got = {w for _, x in seen for w in (x if isinstance(x, bytes) else b" ".join(x)).split()}
     assert got == {w.encode() for i, t in rows for w in t.split() if zlib.crc32(str(i).encode()) % 5 != 0}
     assert {y for y, _ in seen} == {0, 1}
+
+
+def test_weights_that_were_sent_are_updated_fast():
+    """Arrays that come by a broadcast have a data type object of their own, for which numpy leaves its fast scatter."""
+    shape = maxent_lm.Shape(13, 4, 14)
+    start = np.zeros((1 << 13, maxent_lm.CLASSES), np.float32), np.zeros(1 << 14, np.float32)
+    base = np.zeros(maxent_lm.CLASSES << 4, np.float32)
+    words, kinds = maxent_lm.tokens(b"some words, and more words of a text " * 20)
+    classes = np.arange(maxent_lm.TYPES) % maxent_lm.CLASSES
+    rows, hashes = maxent_lm.features(words, kinds, classes, shape)
+    made, sent = maxent_lm._Learner(start, base, shape), maxent_lm._Learner(*pickle.loads(pickle.dumps((start, base))), shape)
+    for own in (made, sent):
+        own.update(words, rows, hashes, classes[kinds])
+        assert all(x.dtype is np.dtype(np.float32) for x in (own.weights, own.tree, own.base))
+    assert made.tree.any() and (made.tree == sent.tree).all() and (made.weights == sent.weights).all()
